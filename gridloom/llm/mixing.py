@@ -1,6 +1,6 @@
 """Mixing sources to target weights by a multivariate-hypergeometric splitting tree.
 
-A source's documents are permuted by a seeded hash and cut into blocks by equal hash ranges. A source whose target is above its size gives whole passes over its blocks first; what then remains of the target is drawn as the leading blocks of one more pass, the last of them cut after the document that comes nearest. The draws of all sources are divided among output shards by a binary tree: at each node, how many draws of each source go left follows the multivariate hypergeometric law, as if all draws had been shuffled and cut in the middle, so that the quotas of the shards add up exactly. A shard's quota is a run of consecutive draws of the permuted blocks, so no two shards share one.
+A source's documents are permuted by a seeded hash and cut into blocks by equal hash ranges. A source whose target is above its size gives whole passes over its blocks first; what then remains of the target is drawn as the leading blocks of one more pass; of the last of them, documents are taken in permuted order as long as they fit, so that what is missing is less than any document left out of it. The draws of all sources are divided among output shards by a binary tree: at each node, how many draws of each source go left follows the multivariate hypergeometric law, as if all draws had been shuffled and cut in the middle, so that the quotas of the shards add up exactly. A shard's quota is a run of consecutive draws of the permuted blocks, so no two shards share one.
 
 The driver holds one row per source (its size, target and quotas); documents are only counted, filtered and repeated by column expressions.
 """
@@ -92,7 +92,7 @@ def quotas(draws: dict[str | None, int], shards: int, seed: int) -> dict[str | N
 
 
 def plan(sized: DataFrame, weights=WEIGHTS, most: float = MOST, block_rows: int = BLOCK_ROWS, shards: int = SHARDS, seed: int = SEED) -> tuple[DataFrame, int]:
-    """One row per source (__s): __size, __target, __nb blocks, __full passes, and of one more pass the blocks before __cut, and in block __cut those with __q up to __q_end; __ends: where each shard's draws end. sized has source, size, __s, __q. The second value is the number of sources."""
+    """One row per source (__s): __size, __target, __nb blocks, __full passes, and of one more pass the blocks before __cut, and in block __cut those with __q in __picked; __ends: where each shard's draws end. sized has source, size, __s, __q. The second value is the number of sources."""
     spark = sized.sparkSession
     found = sized.groupBy("__s", "source").agg(F.sum("size").alias("size"), F.count("*").alias("n")).collect()
     size, target = {r["source"]: r["size"] for r in found}, targets([(r["source"], r["size"]) for r in found], weights, most)
@@ -103,13 +103,16 @@ def plan(sized: DataFrame, weights=WEIGHTS, most: float = MOST, block_rows: int
     blocks = placed.groupBy("__s", "__b").agg(F.sum("size").alias("__w"), F.first("__rest").alias("__rest"))
     blocks = blocks.withColumn("__ahead", F.sum("__w").over(Window.partitionBy("__s").orderBy("__b")) - F.col("__w"))
     cut = blocks.where("__ahead < __rest AND __ahead + __w >= __rest").groupBy("__s").agg(F.min_by("__b", "__ahead").alias("__cut"), F.min("__ahead").alias("__ahead"))
-    inside = joined(placed, cut, ["__s"], len(rows)).where("__b = __cut").groupBy("__s", "__cut", "__q", "__rest", "__ahead").agg(F.sum("size").alias("__w"))
-    inside = inside.withColumn("__upto", F.col("__ahead") + F.sum("__w").over(Window.partitionBy("__s").orderBy("__q")))
-    ends = {r["__s"]: (r["__cut"], r["q"]) for r in inside.groupBy("__s", "__cut").agg(F.max(F.when(F.col("__upto") - F.col("__w") / 2 <= F.col("__rest"), F.col("__q"))).alias("q")).collect()}
-    draws = {r[0]: r[4] * r[3] + (ends[r[0]][0] + (ends[r[0]][1] is not None) if r[0] in ends else 0) for r in rows}
+    inside = joined(placed, cut, ["__s"], len(rows)).where("__b = __cut").groupBy("__s", "__cut", "__q").agg(F.sum("size").alias("w"), F.first(F.col("__rest") - F.col("__ahead")).alias("room"))
+    block = inside.groupBy("__s", "__cut").agg(F.first("room").alias("room"), F.array_sort(F.collect_list(F.struct(F.col("__q").alias("q"), "w"))).alias("x"))
+    start = F.struct(F.col("room").alias("room"), F.array().cast("array<long>").alias("q"))
+    fits = lambda a, r: F.when(r["w"] <= a["room"], F.struct((a["room"] - r["w"]).alias("room"), F.concat(a["q"], F.array(r["q"])).alias("q"))).otherwise(a)
+    picked = written(block.select("__s", "__cut", F.aggregate("x", start, fits)["q"].alias("__picked")), shared_dir(spark))
+    cuts = {r["__s"]: (r["__cut"], r["n"]) for r in picked.select("__s", "__cut", F.size("__picked").alias("n")).collect()}
+    draws = {r[0]: r[4] * r[3] + (cuts[r[0]][0] + (cuts[r[0]][1] > 0) if r[0] in cuts else 0) for r in rows}
     quota = quotas(draws, shards, seed)
-    full = [(*r[:5], *(ends.get(r[0]) or (0, None)), list(accumulate(quota[r[0]]))) for r in rows]
-    return _local(spark, full, "__s string, __size long, __target double, __nb long, __full long, __cut long, __q_end long, __ends array<long>"), len(rows)
+    full = _local(spark, [(*r[:5], list(accumulate(quota[r[0]]))) for r in rows], "__s string, __size long, __target double, __nb long, __full long, __ends array<long>")
+    return joined(full, picked, ["__s"], len(rows), "left"), len(rows)
 
 
 def _local(spark: SparkSession, rows: list[tuple], schema: str) -> DataFrame:
@@ -124,7 +127,7 @@ def _local(spark: SparkSession, rows: list[tuple], schema: str) -> DataFrame:
 def drawn(sized: DataFrame, sources: DataFrame, n_sources: int) -> DataFrame:
     """sized with __size, __target and __draws: the numbers of the draws of its source that hold the row."""
     d = joined(sized, sources, ["__s"], n_sources).withColumn("__b", bucket(F.col("__q"), F.col("__nb")))
-    again = (F.col("__b") < F.col("__cut")) | ((F.col("__b") == F.col("__cut")) & (F.col("__q") <= F.col("__q_end")))
+    again = (F.col("__b") < F.col("__cut")) | ((F.col("__b") == F.col("__cut")) & F.array_contains("__picked", F.col("__q")))
     passes = F.col("__full") + F.coalesce(again, F.lit(False)).cast("long")
     return d.withColumn("__draws", F.when(passes > 0, F.transform(F.sequence(F.lit(0).cast("long"), F.greatest(passes - 1, F.lit(0).cast("long"))), lambda e: e * F.col("__nb") + F.col("__b"))).otherwise(F.array().cast("array<long>")))
 
