@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import chat, mixing, sharding
+from . import chat, minhash, mixing, sharding
 
-QUERIES = {"op6_sharding": sharding.op6, "op9_mixing": mixing.op9, "op10_chat_formatting": chat.op10}
+QUERIES = {"op1_minhash": minhash.op1, "op6_sharding": sharding.op6, "op9_mixing": mixing.op9, "op10_chat_formatting": chat.op10}
 ORACLES = {"op10_chat_formatting": chat.ORACLE}
