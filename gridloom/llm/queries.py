@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import chat, decontamination, minhash, mixing, sharding
+from . import chat, decontamination, minhash, mixing, sharding, warc
 
-QUERIES = {"op1_minhash": minhash.op1, "op3_decontamination": decontamination.op3, "op6_sharding": sharding.op6, "op9_mixing": mixing.op9, "op10_chat_formatting": chat.op10}
-ORACLES = {"op3_decontamination": decontamination.ORACLE, "op10_chat_formatting": chat.ORACLE}
+QUERIES = {"op1_minhash": minhash.op1, "op3_decontamination": decontamination.op3, "op5_warc": warc.op5, "op6_sharding": sharding.op6, "op9_mixing": mixing.op9, "op10_chat_formatting": chat.op10}
+ORACLES = {"op1_minhash": minhash.ORACLE, "op5_warc": warc.ORACLE, "op3_decontamination": decontamination.ORACLE, "op10_chat_formatting": chat.ORACLE}
