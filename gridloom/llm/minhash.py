@@ -3,7 +3,7 @@
 Documents with equal shingle sets are one node. Each node gets a SuperMinHash signature: every shingle draws, step by step, the slots of one random permutation and puts the step plus a random fraction there, a slot keeps the least value, and steps end as soon as none can be lowered any more; the slots are negatively correlated, so estimates vary less than with independent hashes. Bands of the signature name buckets. Links are confirmed on the full shingle sets and grouped by union-find, in two rounds:
 
 1. Each node of a bucket is held against the bucket's node with the smallest id.
-2. In buckets that still hold several components, every node outside the bucket's largest component is held against all nodes of other components there. Pairs within one component need no check, as they change nothing.
+2. In buckets that still hold several components, every node outside the bucket's largest component is held against all nodes of other components there. Pairs within one component need no check, as they change nothing. Buckets with up to PAIRS such pairs list them. The nodes of larger ones are dealt to a grid of blocks, BLOCK nodes a side, in which every node outside is held against a whole block at once by a lookup of its shingles; of a block, only a spanning forest of its links is kept.
 
 One bit for each slot gives an estimate which, at six and more standard deviations under the threshold, spares the confirmation. Bands are set so that a pair just at the threshold is missed with a chance under MISS.
 """
@@ -19,10 +19,12 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import delete, joined, shared_dir, table, written
-from .components import components
+from .components import components, union
 from .textscan import BASE, U, mix, shingle_sets, slices
 
 SLOTS, MISS = 256, 1e-6
+#: Pairs of a bucket up to which they are listed before they are confirmed.
+PAIRS, BLOCK = 256, 512
 #: Shingles whose permutations are held at a time.
 ELEMENTS = 1 << 15
 
@@ -58,6 +60,15 @@ def superminhash(shingles: np.ndarray, first: np.ndarray, m: int = SLOTS) -> np.
     return sig.reshape(rows, m)
 
 
+def named(shingles: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Two 64-bit names of each row's set, by which equal sets are known; the first alone is its node's number."""
+    n, out = np.diff(first).astype(U), []
+    for c in (0x5851F42D4C957F2D, 0x14057B7EF767814F):
+        total = np.concatenate([np.zeros(1, U), np.cumsum(mix(shingles ^ U(c)))])[first]
+        out.append(mix(np.diff(total) + n).view(np.int64))
+    return out[0], out[1]
+
+
 def _sketches(k: int, bands: int, rows: int, m: int):
     def run(batches):
         for batch in slices(batches, "text", 2 << 20):
@@ -67,9 +78,7 @@ def _sketches(k: int, bands: int, rows: int, m: int):
             factors = mix(np.arange(1, rows + 1, dtype=U) * U(BASE))
             keys = mix((sig[:, : bands * rows].reshape(-1, bands, rows) * factors).sum(axis=2) + np.arange(bands, dtype=U) * U(INDEX))
             bits = np.packbits((mix(sig) & U(1)).astype(np.uint8), axis=1).view(np.int64)
-            ends = lambda v: np.concatenate([np.zeros(1, U), np.cumsum(v)])[first]
-            a, b = (np.diff(ends(mix(shingles ^ U(c)))) for c in (0x5851F42D4C957F2D, 0x14057B7EF767814F))
-            node, check = (mix(v + n.astype(U)).view(np.int64) for v in (a, b))
+            node, check = named(shingles, first)
             none = n == 0
             lists = lambda v: pa.ListArray.from_arrays(pa.array(np.arange(len(v) + 1) * v.shape[1], pa.int32()), pa.array(np.ascontiguousarray(v).ravel().view(np.int64)))
             yield pa.RecordBatch.from_arrays([batch.column("key"), pa.array(n), pa.array(node, mask=none), pa.array(check, mask=none), lists(keys), lists(bits)], ["key", "n", "node", "check", "bands", "bits"])
@@ -84,7 +93,9 @@ def _sets(k: int):
     def run(batches):
         for batch in slices(batches, "text"):
             shingles, first = shingle_sets(batch.column("text"), k)
-            yield pa.RecordBatch.from_arrays([batch.column("node"), pa.ListArray.from_arrays(pa.array(first, pa.int32()), pa.array(shingles.view(np.int64)))], ["node", "shingles"])
+            own = named(shingles, first)[0] == batch.column("node").to_numpy()
+            lists = pa.ListArray.from_arrays(pa.array(first, pa.int32()), pa.array(shingles.view(np.int64)))
+            yield pa.RecordBatch.from_arrays([batch.column("node"), lists], ["node", "shingles"]).filter(pa.array(own))
 
     return run
 
@@ -118,41 +129,93 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, key: str = "
     roots = components(links)
     # second round
     seen = members.join(roots, "node", "left").select("bucket", "node", F.coalesce("root", "node").alias("root"))
-    held = seen.groupBy("bucket", "root").agg(F.count("*").alias("c")).groupBy("bucket").agg(F.max_by("root", "c").alias("main"), F.count("*").alias("roots")).where("roots > 1")
-    mixed = seen.join(held.select("bucket", "main"), "bucket").join(signatures, "node")
-    left = mixed.where("root != main").select("bucket", "main", F.col("node").alias("a"), F.col("root").alias("root_a"), F.col("bits").alias("bits_a"))
-    right = mixed.select("bucket", F.col("node").alias("b"), F.col("root").alias("root_b"), F.col("bits").alias("bits_b"))
-    across = (F.col("root_a") != F.col("root_b")) & ((F.col("root_b") == F.col("main")) | (F.col("a") < F.col("b")))
-    pairs = left.join(right, "bucket").where(across & likely(F.col("bits_a"), F.col("bits_b"), percent)).select("a", "b").distinct()
+    counts = seen.groupBy("bucket", "root").agg(F.count("*").alias("c")).groupBy("bucket").agg(F.max_by("root", "c").alias("main"), F.max("c").alias("most"), F.sum("c").alias("all"), F.count("*").alias("roots"))
+    held = counts.where("roots > 1").select("bucket", "main", (F.col("all") * (F.col("all") - F.col("most")) > PAIRS).alias("large"))
+    mixed = written(seen.join(held, "bucket").join(signatures, "node"), f"{base}/mixed")
+    across = (F.col("root_a") != F.col("root_b")) & ((F.col("root_b") == F.col("main")) | (F.col("a") < F.col("b"))) & likely(F.col("bits_a"), F.col("bits_b"), percent)
+    side = lambda d, x: d.select("bucket", "main", F.col("node").alias(x), F.col("root").alias(f"root_{x}"), F.col("bits").alias(f"bits_{x}"))
+    small, large = mixed.where("NOT large"), mixed.where("large")
+    pairs = side(small.where("root != main"), "a").join(side(small, "b").drop("main"), "bucket").where(across).select("a", "b").distinct()
     pairs = written(pairs.join(stars.union(stars.select("b", "a")), ["a", "b"], "left_anti"), f"{base}/pairs")
-    if not pairs.isEmpty():
-        more = written(confirmed(pairs, nodes, narrow, k, percent), f"{base}/more")
+    more = confirmed(pairs, nodes, narrow, k, percent)
+    if not large.isEmpty():
+        sets = shingles_of(large.select("node").distinct(), nodes, narrow, k, f"{base}/sets")
+        more = more.union(written(in_blocks(large, sets, percent), f"{base}/reached"))
+    if not more.isEmpty():
         roots = components(links.union(more))
     grouped = nodes.select("node", "check", "rep").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
     least = grouped.groupBy("root").agg(F.min("rep").alias("component_id"))
     of = grouped.join(least, "root").select("node", "check", "component_id")
     found = sketch.select("key", "n", "node", "check").join(of, ["node", "check"], "left")
     found = written(found.select(F.col("key").alias(key), F.col("n").alias("n_shingles"), F.coalesce("component_id", "key").alias("component_id")), f"{base}/found")
-    delete(spark, *(f"{base}/{x}" for x in ("sketch", "nodes", "members", "stars", "links", "pairs", "more")))
+    delete(spark, *(f"{base}/{x}" for x in ("sketch", "nodes", "members", "stars", "links", "mixed", "pairs", "sets", "reached")))
     return found.withColumn("kept", F.col(key).eqNullSafe(F.col("component_id")))
 
 
+def shingles_of(wanted: DataFrame, nodes: DataFrame, docs: DataFrame, k: int, place: str) -> DataFrame:
+    """(node, shingles) of the nodes wanted, written at place; texts are read again for them."""
+    wanted = written(wanted.join(nodes.select("node", "rep"), "node"), f"{place}-wanted")
+    texts = joined(docs.withColumnRenamed("key", "rep"), wanted, ["rep"], wanted.count()).select("node", "text")
+    # a key may come with several texts: a row counts if its set is the node's, and once
+    sets = texts.mapInArrow(_sets(k), "node long, shingles array<long>")
+    sets = written(sets, place)
+    delete(docs.sparkSession, f"{place}-wanted")
+    return sets
+
+
+def in_blocks(large: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Links (a, b) of nodes outside the main component of their buckets, to nodes in it and to each other; large: bucket, node, root, main."""
+    family = large.select("main", "node", (F.col("root") != F.col("main")).alias("outside")).distinct()
+    blocks = family.groupBy("main").agg(F.ceil(F.count_if("outside") / BLOCK).alias("n_out"), F.ceil(F.count_if(~F.col("outside")) / BLOCK).alias("n_in"))
+    dealt = family.join(blocks, "main").join(sets, "node")
+    # blocks from 0 hold nodes outside, then come those inside
+    own = F.when(F.col("outside"), F.pmod(F.xxhash64("node"), F.col("n_out"))).otherwise(F.col("n_out") + F.pmod(F.xxhash64("node", F.lit(1)), F.col("n_in")))
+    dealt = dealt.withColumn("own", own.cast("long")).withColumn("blocks", (F.col("n_out") + F.col("n_in")).cast("long"))
+    left = dealt.where("outside").select("main", F.col("own").alias("i"), F.explode(F.sequence("own", F.col("blocks") - 1)).alias("j"), "node", "shingles")
+    right = dealt.select("main", F.explode(F.sequence(F.lit(0).cast("long"), F.least("own", F.col("n_out").cast("long") - 1))).alias("i"), F.col("own").alias("j"), "node", "shingles", "outside")
+    by = ["main", "i", "j"]
+    left, right = (d.select(*(F.col(c).alias(c) for c in d.columns)) for d in (left, right))
+    return left.groupBy(by).cogroup(right.groupBy(by)).applyInArrow(_met(percent), "a long, b long").distinct()
+
+
+def _met(percent: int):
+    def run(left: pa.Table, right: pa.Table) -> pa.Table:
+        out: dict[int, int] = {}
+        if left.num_rows and right.num_rows:
+            flat = lambda t: (t["shingles"].combine_chunks().flatten().to_numpy(), pa.compute.list_value_length(t["shingles"]).to_numpy().astype(np.int64), t["node"].to_numpy())
+            (x, nx, a), (y, ny, b) = flat(left), flat(right)
+            known, y = np.unique(y, return_inverse=True)
+            at = np.minimum(np.searchsorted(known, x), len(known) - 1)
+            shared, present = known[at] == x, np.zeros(len(known), bool)
+            starts, ends, pairs = np.cumsum(ny) - ny, np.cumsum(nx), []
+            inside = not right["outside"][0].as_py()
+            for i in range(len(a)):
+                mine = at[ends[i] - nx[i] : ends[i]][shared[ends[i] - nx[i] : ends[i]]]
+                present[mine] = True
+                met = np.add.reduceat(present[y], starts, dtype=np.int64)
+                present[mine] = False
+                found = b[((100 + percent) * met >= percent * (nx[i] + ny)) & (b != a[i])]
+                pairs.append((np.full(len(found[: 1 if inside else None]), a[i]), found[: 1 if inside else None]))
+            p, q = (np.concatenate(c) for c in zip(*pairs, strict=True))
+            out = union(p, q)
+        return pa.table({"a": pa.array(list(out), pa.int64()), "b": pa.array(list(out.values()), pa.int64())})
+
+    return run
+
+
+def similar(a: Column, b: Column, percent: int) -> Column:
+    """Whether two sets reach the threshold: i / (m + n - i) >= t."""
+    return (100 + percent) * F.size(F.array_intersect(a, b)) >= percent * (F.size(a) + F.size(b))
+
+
 def confirmed(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, k: int, percent: int) -> DataFrame:
     """Those of pairs (a, b: nodes) whose full shingle sets reach the threshold."""
     spark = pairs.sparkSession
     base = shared_dir(spark)
-    wanted = written(pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct().join(nodes.select("node", "rep"), "node"), f"{base}/wanted")
-    n = wanted.count()
-    texts = joined(docs.withColumnRenamed("key", "rep"), wanted, ["rep"], n).select("node", "text") if n else docs.select(F.col("key").alias("node"), "text").where(F.lit(False))
-    # a key may come with several texts: only the node's own set is meant, and its rows are equal
-    sets = texts.mapInArrow(_sets(k), "node long, shingles array<long>")
-    sets = written(sets, f"{base}/sets")
+    sets = shingles_of(pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct(), nodes, docs, k, f"{base}/sets")
     a, b = (sets.select(F.col("node").alias(x), F.col("shingles").alias(f"set_{x}")) for x in "ab")
-    both = pairs.join(b, "b").join(a, "a")
-    shared = F.size(F.array_intersect("set_a", "set_b"))
-    kept = both.withColumn("i", shared).where(100 * F.col("i") >= percent * (F.size("set_a") + F.size("set_b") - F.col("i"))).select("a", "b").distinct()
-    kept = written(kept, f"{base}/kept")
-    delete(spark, f"{base}/wanted", f"{base}/sets")
+    kept = written(pairs.join(b, "b").join(a, "a").where(similar(F.col("set_a"), F.col("set_b"), percent)).select("a", "b").distinct(), f"{base}/kept")
+    delete(spark, f"{base}/sets")
     return kept
 
 
