@@ -1,6 +1,6 @@
 """Quality classifier from weak labels.
 
-Overlapping heuristics, and annotators where labels are given, each vote keep, reject or abstain on a document. There are two aspects, junk and toxicity, with voters of their own. For each, expectation-maximisation over the counts of all vote patterns (a few hundred, whatever the corpus) estimates how often each voter is right on good and on bad documents, and with it the posterior of every pattern. A hashed linear scorer is trained on the posterior labels of at most TRAIN_ROWS documents; it also judges documents on which the heuristics abstain. A document is kept if, in both aspects, the log odds of its posterior, by the heuristics alone, and the scorer's add up to more than 0.
+Overlapping heuristics, and annotators where labels are given, vote on a document: heuristics to reject it or abstain, as each looks for one fault only, annotators for either side. There are two aspects, junk and toxicity, with voters of their own. For each, expectation-maximisation over the counts of all vote patterns (a few hundred, whatever the corpus) estimates how often each voter is right on good and on bad documents, and with it the posterior of every pattern. A hashed linear scorer is trained on the posterior labels of at most TRAIN_ROWS documents; it also judges documents on which the heuristics abstain. A document is kept if, in both aspects, the log odds of its posterior, by the heuristics alone, and the scorer's add up to more than 0.
 """
 
 from __future__ import annotations
@@ -76,7 +76,7 @@ def learned_stems(d: DataFrame, labels: DataFrame, place: str) -> np.ndarray:
 
 
 def votes(column: pa.Array, stems: np.ndarray) -> np.ndarray:
-    """A row of votes for each text: -1 to reject it, 1 to keep it, 0 to abstain; counts are of whole texts."""
+    """A row of votes for each text: -1 to reject it, 0 to abstain; counts are of whole texts."""
     raw, offsets = bytes_of(column)
     hashes, first = word_hashes(column)
     bare, bare_first = word_hashes(_letters(column))
@@ -91,18 +91,18 @@ def votes(column: pa.Array, stems: np.ndarray) -> np.ndarray:
     value, at = stem_hashes(column)
     stemmed = total(stems[np.minimum(np.searchsorted(stems, value), len(stems) - 1)] == value, at) if len(stems) else np.zeros(len(n), int)
     letters = upper + lower + total(raw >= 128, offsets)
-    bad_good = [
-        (odd > 0.05 * n, odd < 0.01 * n),
-        ((upper > 0.5 * (upper + lower)) & (w >= 5), upper < 0.2 * (upper + lower)),
-        ((bangs > 0.2 * w) & (w >= 5), bangs <= 0.02 * w),
-        ((distinct < 0.25 * w) & (w >= 40) & (w < 2000), distinct > 0.4 * w),
-        (w == 0, w >= 20),
-        ((letters < 0.5 * n) & (n > 0), letters > 0.6 * n),
-        (rude >= 1, rude == 0),
-        (rude >= 2, rude == 0),
-        (stemmed >= 1, stemmed == 0),
+    bad = [
+        odd > 0.03 * n,
+        (upper > 0.5 * (upper + lower)) & (w >= 5),
+        (bangs > 0.2 * w) & (w >= 5),
+        (distinct < 0.25 * w) & (w >= 40) & (w < 2000),
+        w == 0,
+        (letters < 0.5 * n) & (n > 0),
+        rude >= 1,
+        rude >= 2,
+        stemmed >= 1,
     ]
-    return np.stack([np.where(bad, -1, np.where(good, 1, 0)) for bad, good in bad_good], axis=1)
+    return -np.stack(bad, axis=1).astype(int)
 
 
 def _letters(column: pa.Array) -> pa.Array:
