@@ -23,7 +23,9 @@ LENGTH, GRAM = 100, 32
 #: Strings an anchor may stand for. Bytes scanned at a time; positions of a stretch fit into its low bits.
 WINDOW, STRETCH = LENGTH - GRAM + 1, 1 << 20
 #: Anchors a task holds before it settles them.
-HELD = 3_000_000
+HELD = 1_000_000
+#: Suffixes sorted at a time.
+SORTED = 500_000
 ROW = "h long, c long, doc long, at long, span int"
 NAMES = ["h", "c", "doc", "at", "span"]
 
@@ -162,22 +164,36 @@ def _contexts(batches):
             yield pa.RecordBatch.from_arrays([pa.array(h, pa.int64()), pa.array(doc, pa.int64()), pa.array(lo, pa.int64()), pa.array(data, pa.binary())], ["h", "doc", "lo", "data"])
 
 
-def earlier(raw: np.ndarray, at: np.ndarray, rank: np.ndarray) -> np.ndarray:
-    """Whether the suffix of raw at each place has a match of LENGTH bytes of lower rank."""
+def earlier(raw: np.ndarray, at: np.ndarray, doc: np.ndarray, place: np.ndarray) -> np.ndarray:
+    """Whether the suffix of raw at each of at has a match of LENGTH bytes at an earlier place; no more than SORTED suffixes are sorted at a time, equal ones together."""
     total, down = prefix_hashes(raw)
-    whole = mix((total[at + LENGTH] - total[at]) * down[at])
-    word = np.zeros(len(raw) - 7, U)
-    for i in range(8):
-        word = word << U(8) | raw[i : len(raw) - 7 + i].astype(U)
-    keys = (word[at], word[at + 8], whole)
-    order = np.lexsort(keys[::-1])
-    # neighbours in suffix order that share LENGTH bytes form runs; within one, all but the lowest rank have a previous or next smaller
-    new = np.ones(len(at), bool)
-    new[1:] = np.any([k[order][1:] != k[order][:-1] for k in keys], axis=0)
-    starts = np.flatnonzero(new)
-    lowest = np.minimum.reduceat(rank[order], starts)
     out = np.zeros(len(at), bool)
-    out[order] = rank[order] > np.repeat(lowest, np.diff(np.append(starts, len(at))))
+    passes = -(-len(at) // SORTED)
+    for turn in range(passes):
+        whole = mix((total[at + LENGTH] - total[at]) * down[at])
+        now = np.flatnonzero(whole % U(passes) == U(turn)) if passes > 1 else np.arange(len(at))
+        if not len(now):
+            continue
+        whole, a = whole[now], at[now]
+        order = np.lexsort((place[now], doc[now]))
+        rank = np.empty(len(now), np.int32)
+        rank[order] = np.arange(len(now), dtype=np.int32)
+        keys = []
+        for start in (0, 8):
+            word = np.zeros(len(now), U)
+            for i in range(8):
+                word = word << U(8) | raw[a + start + i]
+            keys.append(word)
+        keys.append(whole)
+        order = np.lexsort(keys[::-1])
+        # neighbours in suffix order that share LENGTH bytes form runs; within one, all but the lowest rank have a previous or next smaller
+        new = np.ones(len(now), bool)
+        for i, k in enumerate(keys):
+            k = k[order]
+            new[1:] = (k[1:] != k[:-1]) | (new[1:] if i else False)
+        starts, ranked = np.flatnonzero(new), rank[order]
+        lowest = np.repeat(np.minimum.reduceat(ranked, starts), np.diff(np.append(starts, len(now))))
+        out[now[order]] = ranked > lowest
     return out
 
 
@@ -186,21 +202,26 @@ def _matched(batches):
     if not parts:
         return
     rows = pa.Table.from_batches(parts)
-    doc, lo = rows["doc"].to_numpy(), rows["lo"].to_numpy()
-    data = rows["data"].combine_chunks()
-    lengths = pa.compute.binary_length(data).to_numpy().astype(np.int64)
-    raw = np.frombuffer(b"".join(data.to_pylist()), np.uint8)
-    strings = lengths - LENGTH + 1
-    ends = np.cumsum(lengths)
-    row = np.repeat(np.arange(len(doc)), strings)
-    i = np.arange(strings.sum()) - np.repeat(np.cumsum(strings) - strings, strings)
-    place = lo[row] + i
-    rank = np.empty(len(row), np.int64)
-    order = np.lexsort((place, doc[row]))
-    rank[order] = np.arange(len(row))
-    # one document's place is one rank, however many contexts show it
-    gone = earlier(raw, (ends - lengths)[row] + i, rank)
-    yield _gone(doc[row][gone], place[gone], place[gone])
+    rows = rows.take(pa.array(np.argsort(rows["h"].to_numpy(), kind="stable")))
+    h, docs, los = (rows[c].to_numpy() for c in ("h", "doc", "lo"))
+    lengths = pa.compute.binary_length(rows["data"]).to_numpy().astype(np.int64)
+    strings = np.cumsum(lengths - LENGTH + 1)
+    groups = np.append(np.flatnonzero(np.append(True, h[1:] != h[:-1])), len(h))
+    at = 0
+    while at < len(groups) - 1:
+        # whole groups with about SORTED strings
+        before = strings[groups[at] - 1] if groups[at] else 0
+        to = max(at + 1, int(np.searchsorted(strings[groups[1:] - 1], before + SORTED, "right")))
+        a, b = groups[at], groups[to]
+        at = to
+        raw = np.frombuffer(b"".join(rows["data"].slice(a, b - a).to_pylist()), np.uint8)
+        n = lengths[a:b] - LENGTH + 1
+        row = np.repeat(np.arange(b - a), n)
+        i = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+        begins = np.cumsum(lengths[a:b]) - lengths[a:b]
+        doc, place = docs[a:b][row], los[a:b][row] + i
+        gone = earlier(raw, begins[row] + i, doc, place)
+        yield _gone(doc[gone], place[gone], place[gone])
 
 
 def _cut(batches):
