@@ -24,6 +24,14 @@ def dialect(query: str) -> str:
     return part.sub(lambda m: m[1] or (f":{m[3]}" if m[3] else "`" + m[2].replace('""', '"').replace("`", "``") + "`"), query)
 
 
+def view_name(name: str) -> str:
+    return name.replace(".", "__")
+
+
+def outside_strings(text: str, pattern: str, new: str) -> str:
+    return re.sub(r"('(?:[^']|'')*'|--[^\n]*)|" + pattern, lambda m: m[1] or new, text)
+
+
 class GridContext:
     """Registers datasets and runs SQL over them and over any other table of the session."""
 
@@ -49,8 +57,7 @@ class GridContext:
         for name in self._databases:
             self.spark.sql(f"DROP DATABASE IF EXISTS `{name}` CASCADE")
         for name in self.datasets:
-            if "." not in name:
-                self.spark.catalog.dropTempView(name)
+            self.spark.catalog.dropTempView(view_name(name))
         if self._own:
             shutil.rmtree(self.folder, ignore_errors=True)
 
@@ -72,10 +79,10 @@ class GridContext:
         write_store(chunked, place, None, batch_size)
         self.datasets[name], self.stores[name] = chunked, place
         if "." in name:
+            # the catalog lists the table, but hands a Python source no options when it is read; queries go to a view
             table = ".".join(f"`{x}`" for x in name.split("."))
             self.spark.sql(f"CREATE TABLE {table} USING grid OPTIONS (path '{place}')")
-        else:
-            self.read(name).createOrReplaceTempView(f"`{name}`" if not name.isidentifier() else name)
+        self.read(name).createOrReplaceTempView(view_name(name))
         for k, v in ds.dim_coords.items():
             calendar = cal.calendar_of(v.values)
             if calendar and not cal.is_gregorian_like(calendar):
@@ -97,7 +104,7 @@ class GridContext:
         self.spark.udf.register(name, function, returns) if returns else self.spark.udf.register(name, function)
 
     def table_names(self, database: str | None = None) -> list[str]:
-        return [t.name for t in self.spark.catalog.listTables(database)]
+        return [t.name for t in self.spark.catalog.listTables(database) if database is None or not t.isTemporary]
 
     def sql(self, query: str, param_values: dict | None = None) -> GridDataFrame:
         """Plans the query; faults of text and names are raised here, arrays are read when rows are asked for.
@@ -105,21 +112,26 @@ class GridContext:
         A second plan of the same text reads only the arrays whose columns the first one refers to.
         """
         text = dialect(query)
+        if re.search(r"\bWHERE\s*;?\s*$", text, re.I):  # Spark would take the word for an alias
+            raise ValueError("WHERE without a condition")
+        for name in self.stores:
+            if "." in name:
+                text = outside_strings(text, r"\b" + r"\.".join(f"`?{re.escape(x)}`?" for x in name.split(".")) + r"(?!\w)", view_name(name))
         if self._calendar:
             text = cal.fold_cftime(text, *self._calendar)
         run = lambda: self.spark.sql(text, args=param_values) if param_values else self.spark.sql(text)
         df = run()
-        used = {n for n in self.stores if "." not in n and re.search(rf"(?<![\w.]){re.escape(n)}(?![\w.])", text)}
+        used = {n for n in self.stores if re.search(rf"(?<!\w){re.escape(view_name(n))}(?!\w)", text)}
         if used:
             wanted = referenced(df)
             try:
                 for name in used:
                     names = [f for f in self.read(name).columns if f in wanted]
-                    self.read(name, names).createOrReplaceTempView(name)
+                    self.read(name, names).createOrReplaceTempView(view_name(name))
                 df = run()
             finally:
                 for name in used:
-                    self.read(name).createOrReplaceTempView(name)
+                    self.read(name).createOrReplaceTempView(view_name(name))
         return GridDataFrame(df, dict(self.datasets))
 
 

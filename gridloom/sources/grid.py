@@ -19,7 +19,7 @@ from pyspark.sql.types import LongType, StructType
 
 from .. import calendars as cal
 from ..dataset import GridDataset, resolve_chunks
-from ..types import infer_schema, to_arrow
+from ..types import infer_schema, to_arrow, whole_micros
 
 BATCH = 65_536
 #: A touched file in this folder for each chunk read, if it is set; tests count them.
@@ -38,9 +38,16 @@ def write_store(ds: GridDataset, place: str, chunks=None, batch: int = BATCH) ->
     os.makedirs(place, exist_ok=True)
     dims = next(iter(ds.data.values())).dims if ds.data else tuple(ds.sizes)
     schema = infer_schema(ds)
+    for v in (*ds.dim_coords.values(), *ds.data.values()):
+        if v.values.dtype == "datetime64[ns]":
+            whole_micros(v.values)
     for name, v in {**{k: v for k, v in ds.dim_coords.items() if k in dims}, **ds.data}.items():
         file = f"{place}/{schema.fieldNames().index(name)}"
-        if v.values.dtype == object:
+        if cal.is_caldate(v.values):
+            whole = isinstance(schema[name].dataType, LongType)
+            n = cal.to_offsets(v.values, schema[name].metadata["units"]) if whole else cal.to_microseconds(v.values).view("datetime64[us]")
+            np.save(f"{file}.npy", n.reshape(v.values.shape))
+        elif v.values.dtype == object:
             with open(f"{file}.pkl", "wb") as f:
                 pickle.dump(v.values, f)
         else:
@@ -176,13 +183,18 @@ class GridDataSource(D.DataSource):
     def name(cls):
         return "grid"
 
+    def place(self) -> str:
+        """The store's folder; the catalog writes paths as URIs."""
+        path = self.options["path"]
+        return "/" + path[5:].lstrip("/") if path.startswith("file:") else path
+
     def schema(self):
-        with open(f"{self.options['path']}/manifest.json") as f:
+        with open(f"{self.place()}/manifest.json") as f:
             return StructType.fromJson(json.load(f)["schema"])
 
     def reader(self, schema):
         wanted = self.options.get("columns")
-        return GridReader(self.options["path"], json.loads(wanted) if wanted is not None else None)
+        return GridReader(self.place(), json.loads(wanted) if wanted is not None else None)
 
 
 def register(spark: SparkSession) -> None:

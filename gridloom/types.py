@@ -44,6 +44,13 @@ def infer_schema(ds: GridDataset) -> T.StructType:
     return T.StructType(coords + [field_for(k, v, "var") for k, v in ds.data.items()])
 
 
+def whole_micros(values: np.ndarray) -> np.ndarray:
+    """Times as microseconds, which is what Spark keeps; finer ones are refused, as they would be cut."""
+    if values.dtype == "datetime64[ns]" and np.any((values.view(np.int64) % 1000 != 0) & ~np.isnat(values)):
+        raise ValueError("times finer than microseconds")
+    return values.astype("datetime64[us]")
+
+
 def to_arrow(values: np.ndarray, field: T.StructField) -> pa.Array:
     """Values of a column; NaN and NaT of variables are null, dimensions stay as they are."""
     values, var = np.ascontiguousarray(values).ravel(), field.metadata.get("role") == "var"
@@ -53,9 +60,7 @@ def to_arrow(values: np.ndarray, field: T.StructField) -> pa.Array:
         return pa.array(cal.to_microseconds(values), pa.int64()).cast(pa.timestamp("us"))
     kind = values.dtype.kind
     if kind == "M":
-        if values.dtype == "datetime64[ns]" and np.any((values.view(np.int64) % 1000 != 0) & ~np.isnat(values)):
-            raise ValueError(f"{field.name}: Spark keeps microseconds; finer times would be cut")
-        return pa.array(values.astype("datetime64[us]"), pa.timestamp("us"))
+        return pa.array(whole_micros(values), pa.timestamp("us"))
     if kind == "m":
         return pa.array(values.astype("timedelta64[us]"), pa.duration("us"))
     if kind in "US" or values.dtype == object:
