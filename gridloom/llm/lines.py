@@ -10,17 +10,17 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import delete, shared_dir, table, written
+from .common import WORD, delete, shared_dir, table, written
 
 GRAM, WINDOW, LONG = 2, 2, 50
 
 
 def lined(docs: DataFrame, key: str, text: str) -> DataFrame:
-    """(doc, lines: the texts of all lines, kept: numbers from 0 of those not blank, hashes and words of these)."""
+    """(doc, at: numbers from 0 of the lines not blank, hashes and words of these). Lambdas use nothing but their own line, so a text is gone through once."""
     d = docs.select(F.col(key).cast("long").alias("doc"), F.split(F.coalesce(F.col(text).cast("string"), F.lit("")), "\n", -1).alias("lines"))
-    d = d.withColumn("plain", F.transform("lines", lambda x: F.trim(F.regexp_replace(F.lower(x), r"[\x20\x09-\x0D]+", " "))))
-    d = d.withColumn("at", F.filter(F.sequence(F.lit(0), F.size("lines") - 1), lambda i: F.get("plain", i) != ""))
-    return d.withColumn("hashes", F.transform("at", lambda i: F.xxhash64(F.get("plain", i)))).withColumn("words", F.transform("at", lambda i: F.size(F.split(F.get("plain", i), " ")))).drop("plain")
+    words = F.transform("lines", lambda x: F.regexp_extract_all(F.lower(x), F.lit(WORD), F.lit(0)))
+    entries = F.filter(F.transform(words, lambda w, i: F.struct(i.alias("at"), F.xxhash64(w).alias("h"), F.size(w).alias("n"))), lambda e: e["n"] > 0)
+    return d.select("doc", entries.alias("e")).select("doc", F.col("e.at").alias("at"), F.col("e.h").alias("hashes"), F.col("e.n").alias("words"))
 
 
 def fingerprints() -> Column:
