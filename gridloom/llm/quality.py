@@ -1,6 +1,6 @@
 """Quality classifier from weak labels.
 
-Overlapping heuristics, and annotators where labels are given, vote on a document: heuristics to reject it or abstain, as each looks for one fault only, annotators for either side. There are two aspects, junk and toxicity, with voters of their own. For each, expectation-maximisation over the counts of all vote patterns (a few hundred, whatever the corpus) estimates how often each voter is right on good and on bad documents, and with it the posterior of every pattern. A hashed linear scorer is trained on the posterior labels of at most TRAIN_ROWS documents; it also judges documents on which the heuristics abstain. A document is kept if, in both aspects, the log odds of its posterior, by the heuristics alone, and the scorer's add up to more than 0.
+Overlapping heuristics, and annotators where labels are given, vote on a document: heuristics to reject it or abstain, as each looks for one fault only, annotators for either side. There are two aspects, junk and toxicity, with voters of their own. For each, expectation-maximisation over the counts of all vote patterns (a few hundred, whatever the corpus) estimates how often each voter is right on good and on bad documents, and with it the posterior of every pattern. A hashed linear scorer is trained on the posterior labels of at most TRAIN_ROWS documents; it also judges documents on which the heuristics abstain. A document is kept if, in both aspects, the log odds of its posterior, by the heuristics alone, and the scorer's add up to more than 0; the scorer, which sees words only, speaks for no document that the heuristics are against.
 """
 
 from __future__ import annotations
@@ -15,8 +15,10 @@ from .textscan import BASE, U, bytes_of, mix, slices, word_hashes
 
 #: Documents the scorer is trained on, at most: those with the least hashes of each side.
 TRAIN_ROWS = 6_000
-#: Labelled documents of either kind, toxic or not, that word stems are learned from, at most; bytes of a stem; stems kept, at most.
-STEM_ROWS, STEM_BYTES, STEMS = 5_000, (4, 5, 6), 5_000
+#: Labelled documents, not toxic and toxic, that word stems are learned from, at most; bytes of a stem; stems kept, at most.
+STEM_ROWS, STEM_BYTES, STEMS = (20_000, 5_000), (4, 5, 6), 5_000
+#: Heuristics look for gross faults: they are taken to hit no more than this share of good documents. Without a bound, a fault that only one of them sees is as well explained as a way of good documents.
+MISFIRE = 0.003
 #: Hashed features.
 FEATURES = 1 << 18
 #: Insults that a document of the kind `toxic` uses; fixed values.
@@ -63,15 +65,15 @@ def _stem_counts(batches):
 
 
 def learned_stems(d: DataFrame, labels: DataFrame, place: str) -> np.ndarray:
-    """Hashes of word stems that labelled toxic documents have and others next to never; d has id and text. A stem must be in so many toxic documents that not one in a hundred such lists would hold one by chance, were labels dealt at random."""
+    """Hashes of word stems that labelled toxic documents have and others never; d has id and text. A stem must be in so many toxic documents that not one in a hundred such lists would hold one by chance, were labels dealt at random."""
     marks = labels.where("toxic IS NOT NULL AND doc_id IS NOT NULL").groupBy(F.col("doc_id").cast("long").alias("id")).agg(F.max("toxic").alias("toxic"))
-    chosen = [written(marks.where(F.col("toxic") == v).orderBy(F.xxhash64("id"), "id").limit(STEM_ROWS), f"{place}/stems{v}") for v in (0, 1)]
+    chosen = [written(marks.where(F.col("toxic") == v).orderBy(F.xxhash64("id"), "id").limit(STEM_ROWS[v]), f"{place}/stems{v}") for v in (0, 1)]
     n = [c.count() for c in chosen]
     if not all(n):
         return np.zeros(0, U)
     least = max(4, int(np.ceil(np.log(1e8) / np.log(sum(n) / n[1]))))
     found = d.join(F.broadcast(chosen[0].union(chosen[1])), "id").select("text", "toxic").mapInArrow(_stem_counts, "stem long, toxic long, clean long")
-    found = found.groupBy("stem").agg(F.sum("toxic").alias("t"), F.sum("clean").alias("c")).where((F.col("t") >= least) & (F.col("c") * n[1] <= 0.01 * F.col("t") * n[0]))
+    found = found.groupBy("stem").agg(F.sum("toxic").alias("t"), F.sum("clean").alias("c")).where((F.col("t") >= least) & (F.col("c") == 0))
     return np.sort(np.array([r["stem"] for r in found.orderBy(F.desc("t"), "stem").limit(STEMS).collect()], np.int64).view(U))
 
 
@@ -128,20 +130,19 @@ def _patterns(stems: np.ndarray):
 def expectation_maximisation(patterns: np.ndarray, counts: np.ndarray, steps: int = 60, prior: float = 0.9) -> tuple[np.ndarray, np.ndarray, float]:
     """Posteriors of keep for patterns (rows of -1, 0, 1), each heuristic's chances of (reject, abstain, keep) on (bad, good) documents, and the share of good ones.
 
-    A rejecting vote is a finding, an abstaining or keeping one the rule, so the start lets a bad document have one reject of any kind; a heuristic that is right on neither side sinks to no weight.
+    The last column is the annotators'. A rejecting vote is a finding, an abstaining or keeping one the rule, so the start lets a bad document have one reject of any kind.
     """
     k = patterns.shape[1]
     one = np.stack([(patterns == v) for v in (-1, 0, 1)], axis=2).astype(float)
+    one[:, -1, 1] = 0.0  # a document that no annotator saw says nothing; a heuristic that abstains does
     post = np.where((patterns == -1).any(axis=1), 0.05, 0.95)
     total, chance, share = counts.sum(), np.zeros((2, k, 3)), prior
     for _ in range(steps):
         for side, weight in enumerate((1 - post, post)):
             mass = np.einsum("p,pkv->kv", weight * counts, one) + 0.1
             chance[side] = mass / mass.sum(axis=1, keepdims=True)
+        chance[1, :-1] = np.where(chance[1, :-1, :1] > MISFIRE, [[MISFIRE, 1 - 2 * MISFIRE, MISFIRE]], chance[1, :-1])
         share = float(np.clip((post * counts).sum() / max(total, 1), 0.02, 0.98))
-        # a heuristic votes reject on good documents no more often than on bad ones
-        flip = chance[1, :, 0] > chance[0, :, 0]
-        chance[:, flip] = chance[:, flip].mean(axis=0)
         logs = np.einsum("pkv,skv->sp", one, np.log(chance)) + np.log([[1 - share], [share]])
         post = 1 / (1 + np.exp(np.clip(logs[0] - logs[1], -50, 50)))
     return post, chance, share
@@ -203,7 +204,8 @@ class Model:
         for aspect, of in ASPECTS.items():
             weights, bias = self.scorers[aspect]
             scored = np.array([float(weights[x].sum()) / len(x) ** 0.5 + bias if len(x) else 0.0 for x in rows], float)
-            out[aspect] = scored + np.array([self.odds[aspect].get(p, 0.0) for p in spelled(seen[:, of[:-1]])], float)
+            told = np.array([self.odds[aspect].get(p, 0.0) for p in spelled(seen[:, of[:-1]])], float)
+            out[aspect] = told + np.where(told > 0, scored, np.minimum(scored, 0))
         return out
 
 
@@ -250,7 +252,11 @@ def _scorer(d: DataFrame, seen: DataFrame, target: dict[str, float], sample: int
     chosen = [written(seen.where(c).orderBy(order, "id").limit(sample // 2), f"{place}{i}") for i, c in enumerate((side, ~side))]
     picked = chosen[0].union(chosen[1]).dropDuplicates(["id"])
     taken = d.join(F.broadcast(picked), "id").select("pattern", "text").mapInArrow(_sampled, "pattern string, features array<int>").orderBy("pattern", F.xxhash64("features")).limit(2 * sample).toArrow()
-    return train([np.asarray(x, np.int64) for x in taken["features"].to_numpy()], np.array([target[p] for p in taken["pattern"].to_pylist()]))
+    rows, aim = [np.asarray(x, np.int64) for x in taken["features"].to_numpy()], np.array([target[p] for p in taken["pattern"].to_pylist()])
+    weights, bias = train(rows, aim)
+    # where words don't tell good from bad, the scorer speaks against next to none of the good ones
+    seen_good = [weights[x].sum() / max(1, len(x)) ** 0.5 + bias for x, t in zip(rows, aim, strict=True) if t > 0.5]
+    return weights, bias + max(0.0, -float(np.quantile(seen_good, 0.002)))
 
 
 def judged(docs: DataFrame, model: Model, key: str = "doc_id", text: str = "text") -> DataFrame:
