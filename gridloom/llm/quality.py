@@ -145,6 +145,8 @@ def expectation_maximisation(patterns: np.ndarray, counts: np.ndarray, steps: in
         share = float(np.clip((post * counts).sum() / max(total, 1), 0.02, 0.98))
         logs = np.einsum("pkv,skv->sp", one, np.log(chance)) + np.log([[1 - share], [share]])
         post = 1 / (1 + np.exp(np.clip(logs[0] - logs[1], -50, 50)))
+        # counts alone can't tell a bad document that no voter is against from a good one
+        post = np.where((patterns == -1).any(axis=1), post, np.maximum(post, prior))
     return post, chance, share
 
 
