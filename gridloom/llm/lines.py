@@ -77,7 +77,8 @@ def without_repeated_lines(docs: DataFrame, key: str = "doc_id", text: str = "te
     """
     gone = repeated_lines(docs, key, text).withColumnRenamed("doc", "__key")
     names = [c for c in docs.columns if c not in ("n_lines", "n_removed")]
-    d = docs.select(*names).join(gone, F.col(key).cast("long") == F.col("__key"), "left")
+    # at every size texts meet what is to be deleted by a shuffle: the table of deleted lines grows with the corpus
+    d = docs.select(*names).join(gone.hint("merge"), F.col(key).cast("long") == F.col("__key"), "left")
     d = d.withColumn("__lines", F.split(F.coalesce(F.col(text).cast("string"), F.lit("")), "\n", -1)).withColumn("__map", F.map_from_arrays(F.coalesce("gone", F.array().cast("array<int>")), F.coalesce("gone", F.array().cast("array<int>"))))
     rest = F.filter("__lines", lambda x, i: ~F.map_contains_key("__map", i))
     kept = F.when(F.col("gone").isNull(), F.col(text)).otherwise(F.array_join(rest, "\n"))
