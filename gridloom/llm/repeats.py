@@ -4,7 +4,7 @@ A byte string of LENGTH bytes has an anchor: of its GRAM-byte grams, the (leftmo
 
 1. Each task finds the anchors of its documents. Of equal contexts all but the first are repeats throughout; only the first goes on, so that a passage with many copies costs each task one row.
 2. Dealt by anchor, equal contexts are settled over all tasks the same way; anchors that are left with one context have no further repeats.
-3. For the others, mostly where repeats begin and end, contexts are read again and their suffixes sorted. In suffix order, a suffix has an earlier match of LENGTH bytes if the previous or next smaller position, as far as neighbours share LENGTH bytes, exists: its longest previous factor is then at least as long.
+3. For the others, mostly where repeats begin and end, contexts are read again and their suffixes sorted. Contexts of an anchor that has more than CROWD of them, such as a common line in different surroundings, are taken apart: each string goes on by itself, dealt by its own hash, so that no task gets the crowd. In suffix order, a suffix has an earlier match of LENGTH bytes if the previous or next smaller position, as far as neighbours share LENGTH bytes, exists: its longest previous factor is then at least as long.
 4. Starts of repeats are gathered by document and the bytes they cover are cut.
 """
 
@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import delete, shared_dir, table, written
+from .common import joined, shared_dir, table, written
 from .textscan import BASE, INVERSE, U, bytes_of, mix, powers, slices
 
 LENGTH, GRAM = 100, 32
@@ -24,6 +24,8 @@ LENGTH, GRAM = 100, 32
 WINDOW, STRETCH = LENGTH - GRAM + 1, 1 << 20
 #: Anchors a task holds before it settles them.
 HELD = 1_000_000
+#: Contexts of an anchor beyond which they are dealt by string.
+CROWD = 1_000
 #: Suffixes sorted at a time.
 SORTED = 500_000
 ROW = "h long, c long, doc long, at long, span int"
@@ -158,6 +160,12 @@ def _contexts(batches):
         for doc, start, items in zip(batch.column("doc").to_pylist(), offsets[:-1].tolist(), batch.column("items").to_pylist(), strict=True):
             for i in items:
                 lo, hi = i["at"] - (i["span"] >> 8), i["at"] - (i["span"] & 255)
+                if i["crowd"]:
+                    part = raw[start + lo : start + hi + LENGTH]
+                    total, down = prefix_hashes(part)
+                    own = mix((total[LENGTH:] - total[:-LENGTH]) * down[: hi - lo + 1]).view(np.int64).tolist()
+                    out += [(h, doc, lo + k, part[k : k + LENGTH].tobytes()) for k, h in enumerate(own)]
+                    continue
                 out.append((i["h"], doc, lo, raw[start + lo : start + hi + LENGTH].tobytes()))
         if out:
             h, doc, lo, data = zip(*out, strict=True)
@@ -253,7 +261,9 @@ def without_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text") ->
     d = docs.select(F.col(key).cast("long").alias("doc"), F.coalesce(F.col(text).cast("string"), F.lit("")).alias("text"))
     found = d.where("doc IS NOT NULL AND octet_length(text) >= %d" % LENGTH).mapInArrow(_found, ROW)
     shared = written(found.repartition("h").mapInArrow(_shared, ROW), f"{base}/shared")
-    items = shared.where("span >= 0").groupBy("doc").agg(F.collect_list(F.struct("h", "at", "span")).alias("items"))
+    open_ = shared.where("span >= 0")
+    crowds = written(open_.groupBy("h").agg(F.count("*").alias("n")).where(F.col("n") > CROWD).select("h", F.lit(True).alias("crowd")), f"{base}/crowds")
+    items = joined(open_, crowds, ["h"], crowds.count(), "left").groupBy("doc").agg(F.collect_list(F.struct("h", "at", "span", F.coalesce("crowd", F.lit(False)).alias("crowd"))).alias("items"))
     contexts = d.join(items, "doc").mapInArrow(_contexts, "h long, doc long, lo long, data binary")
     matched = written(contexts.repartition("h").mapInArrow(_matched, ROW), f"{base}/matched")
     starts = shared.where("span < 0").unionByName(matched).select("doc", F.col("at").alias("lo"), F.col("c").alias("hi"))

@@ -288,8 +288,10 @@ def brute_repeats(rows, length=100):
     return out
 
 
-def test_repeats(spark, monkeypatch):
+@pytest.mark.parametrize("crowd", [1, 1000])
+def test_repeats(spark, monkeypatch, crowd):
     monkeypatch.setattr(repeats, "SORTED", 500)
+    monkeypatch.setattr(repeats, "CROWD", crowd)
     rng = random.Random(8)
     chars = "abcdefgh \nüß\0"
     unit = lambda n: "".join(rng.choices(chars, k=n))
