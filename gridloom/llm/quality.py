@@ -32,7 +32,7 @@ ASPECTS = {"junk": (0, 1, 2, 3, 4, 5, 9), "toxic": (6, 7, 8, 10)}
 
 
 def stem_hashes(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-    """The distinct first 4, 5 and 6 bytes of the bare words of each row, and each row's first, one end more."""
+    """The first 4, 5 and 6 bytes of the bare words of all rows, and the row of each."""
     raw, offsets = bytes_of(_letters(column))
     raw = np.concatenate([np.where((raw >= 65) & (raw <= 90), raw + 32, raw), np.full(8, 32, np.uint8)]).astype(U)
     blank = np.isin(raw, np.array([9, 10, 11, 12, 13, 32], U))
@@ -48,18 +48,17 @@ def stem_hashes(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         if i + 1 in STEM_BYTES:
             out.append(mix(value[inside] * U(8) + U(i + 1)))
             of.append(row[inside])
-    value, row = np.concatenate(out), np.concatenate(of)
-    order = np.lexsort((value, row))
-    value, row = value[order], row[order]
-    new = np.ones(len(value), bool)
-    new[1:] = (value[1:] != value[:-1]) | (row[1:] != row[:-1])
-    return value[new], np.searchsorted(row[new], np.arange(len(offsets)))
+    return np.concatenate(out), np.concatenate(of)
 
 
 def _stem_counts(batches):
     for batch in slices(batches, "text"):
-        value, first = stem_hashes(batch.column("text"))
-        toxic = np.repeat(np.asarray(batch.column("toxic").to_numpy(zero_copy_only=False), np.int64), np.diff(first))
+        value, row = stem_hashes(batch.column("text"))
+        order = np.lexsort((value, row))
+        value, row = value[order], row[order]
+        new = np.ones(len(value), bool)
+        new[1:] = (value[1:] != value[:-1]) | (row[1:] != row[:-1])
+        value, toxic = value[new], np.asarray(batch.column("toxic").to_numpy(zero_copy_only=False), np.int64)[row[new]]
         known, at = np.unique(value, return_inverse=True)
         yield pa.RecordBatch.from_arrays([pa.array(known.view(np.int64)), pa.array(np.bincount(at, toxic, len(known)).astype(np.int64)), pa.array(np.bincount(at, 1 - toxic, len(known)).astype(np.int64))], ["stem", "toxic", "clean"])
 
@@ -90,8 +89,8 @@ def votes(column: pa.Array, stems: np.ndarray) -> np.ndarray:
     bangs = total(raw == 33, offsets)
     distinct = np.array([len(np.unique(hashes[a:b])) for a, b in zip(first[:-1].tolist(), first[1:].tolist(), strict=True)], np.int64)
     rude = total(insults[np.minimum(np.searchsorted(insults, bare), len(insults) - 1)] == bare, bare_first) if len(bare) else np.zeros(len(n), int)
-    value, at = stem_hashes(column)
-    stemmed = total(stems[np.minimum(np.searchsorted(stems, value), len(stems) - 1)] == value, at) if len(stems) else np.zeros(len(n), int)
+    value, row = stem_hashes(column)
+    stemmed = np.bincount(row[stems[np.minimum(np.searchsorted(stems, value), len(stems) - 1)] == value], minlength=len(n)) if len(stems) else np.zeros(len(n), int)
     letters = upper + lower + total(raw >= 128, offsets)
     bad = [
         odd > 0.03 * n,
