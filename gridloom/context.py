@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import json
+import math
 import re
 import shutil
 import tempfile
@@ -10,6 +11,7 @@ import uuid
 import warnings
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from . import calendars as cal
 from .dataset import Chunks, GridDataset
@@ -18,6 +20,10 @@ from .session import configure
 from .sources.grid import BATCH, register, write_store
 
 
+#: Bytes up to which a table is broadcast in joins.
+SMALL_BYTES = 8 << 20
+
+
 def dialect(query: str) -> str:
     """Standard SQL names and parameters in Spark's spelling: "name" as `name`, $name as :name; string literals and comments stay."""
     part = re.compile(r"('(?:[^']|'')*'|--[^\n]*|/\*.*?\*/|`[^`]*`)|\"((?:[^\"]|\"\")*)\"|\$([A-Za-z_]\w*)", re.S)
@@ -95,7 +101,15 @@ class GridContext:
     def read(self, name: str, columns: list[str] | None = None) -> DataFrame:
         """A registered table; columns names those whose arrays are read."""
         reader = self.spark.read.format("grid").option("path", self.stores[name])
-        return (reader.option("columns", json.dumps(columns)) if columns is not None else reader).load()
+        df = (reader.option("columns", json.dumps(columns)) if columns is not None else reader).load()
+        return F.broadcast(df) if 0 < self.size(name)[1] <= SMALL_BYTES else df
+
+    def size(self, name: str) -> tuple[int, int]:
+        """Rows and bytes of a table, exact, from its shape alone; strings count as 32 bytes. A Python source has no statistics of its own, so small tables carry a broadcast hint by this size."""
+        ds = self.datasets[name]
+        rows = math.prod(len(c) and sum(c) for c in ds.chunks.values()) if ds.chunks else 1
+        width = sum(v.values.dtype.itemsize if v.values.dtype.kind not in "OUS" else 32 for v in (*ds.dim_coords.values(), *ds.data.values()))
+        return rows, rows * width
 
     def register_table(self, name: str, df: DataFrame) -> None:
         df.createOrReplaceTempView(name)
@@ -122,7 +136,8 @@ class GridContext:
         run = lambda: self.spark.sql(text, args=param_values) if param_values else self.spark.sql(text)
         df = run()
         used = {n for n in self.stores if re.search(rf"(?<!\w){re.escape(view_name(n))}(?!\w)", text)}
-        if used:
+        # a command is carried out as soon as it is planned, so only queries are planned twice
+        if used and re.match(r"\s*(SELECT|WITH|\(|FROM)\b", text, re.I) and not re.search(r"\bINSERT\b", outside_strings(text, r"(?!)", ""), re.I):
             wanted = referenced(df)
             try:
                 for name in used:

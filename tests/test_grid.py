@@ -218,3 +218,26 @@ def test_stores(spark, tmp_path):
     spark.sql("DROP TABLE analyzed_air")
     save_npz(ds, str(tmp_path / "a.npz"))
     assert open_npz(str(tmp_path / "a.npz"), {"time": 25}).equals(ds)
+
+
+def test_small_tables_are_the_build_side(ctx, monkeypatch):
+    import gridloom.context as c
+
+    monkeypatch.setattr(c, "SMALL_BYTES", 2000)
+    ctx.from_dataset("big", air(), chunks={"time": 25})
+    ctx.from_dataset("small", GridDataset({"w": (("lat",), np.arange(5.0))}, {"lat": np.array([50.0, 40, 30, 20, 10])}), chunks={"lat": 5})
+    assert ctx.size("big")[0] == 500 and ctx.size("small") == (5, 80)
+    joined = ctx.sql("SELECT sum(air * w) AS s FROM big JOIN small ON big.lat = small.lat")
+    plan = joined.df._jdf.queryExecution().executedPlan().toString()
+    assert "BroadcastHashJoin" in plan and "BuildRight" in plan
+    assert joined.collect()[0].s == pytest.approx(float((air().data["air"].values * np.arange(5.0)).sum()))
+
+
+def test_commands_run_once(ctx, spark, tmp_path):
+    ctx.from_dataset("air", air(), chunks={"time": 25})
+    ctx.sql(f"CREATE TABLE sink (lat DOUBLE) USING parquet LOCATION '{tmp_path}/sink'")
+    ctx.sql("INSERT INTO sink SELECT lat FROM air")
+    assert spark.table("sink").count() == 500
+    ctx.sql("DROP TABLE sink")
+    assert "BatchScan grid" in ctx.sql("EXPLAIN SELECT lat FROM air").collect()[0][0]
+    assert ctx.sql("SELECT 1 AS one").collect()[0].one == 1
