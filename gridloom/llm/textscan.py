@@ -9,7 +9,7 @@ import pyarrow as pa
 
 U = np.uint64
 #: Bytes scanned at a time; a longer text is cut between words.
-STRETCH = 1 << 21
+STRETCH = 1 << 20
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -104,7 +104,7 @@ def shingle_sets(column: pa.Array, k: int) -> tuple[np.ndarray, np.ndarray]:
     return out[keep], np.concatenate([[0], np.cumsum(keep)])[ends]
 
 
-def slices(batches: Iterator[pa.RecordBatch], text: str, most_bytes: int = 4 << 20) -> Iterator[pa.RecordBatch]:
+def slices(batches: Iterator[pa.RecordBatch], text: str, most_bytes: int = 2 << 20) -> Iterator[pa.RecordBatch]:
     """The batches cut so that their texts have about most_bytes, one row at least."""
     for batch in batches:
         sizes = np.asarray(pa.compute.fill_null(pa.compute.binary_length(batch.column(text)), 0)).cumsum()
