@@ -52,10 +52,11 @@ def day_number(year: int, month: int, day: int, calendar: str) -> int:
     # days of March-based years since year 0, then the leap rule of the calendar
     y, m = (year, month - 3) if month > 2 else (year - 1, month + 9)
     days = 365 * y + y // 4 + (153 * m + 2) // 5 + day - 1
-    julian = calendar == "julian" or (calendar in ("standard", "gregorian") and (year, month, day) < (1582, 10, 15))
-    civil = days - (2 if calendar == "julian" else 0) if julian and calendar == "julian" else days - 2 if julian else days - y // 100 + y // 400
-    # 1970-01-01 is day 719468 of the Gregorian count; in the julian calendar the epoch is its own 1970-01-01
-    return civil - (719468 if calendar != "julian" else 719468 + 13)
+    if calendar == "julian":
+        return days - 719483  # its own 1970-01-01
+    if calendar in ("standard", "gregorian") and (year, month, day) < (1582, 10, 15):
+        return days - 719470  # Julian dates before the reform, on the Gregorian count
+    return days - y // 100 + y // 400 - 719468
 
 
 def micros(d: CalDate) -> int:
