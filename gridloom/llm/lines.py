@@ -23,16 +23,15 @@ def lined(docs: DataFrame, key: str, text: str) -> DataFrame:
     return d.select("doc", entries.alias("e")).select("doc", F.col("e.at").alias("at"), F.col("e.h").alias("hashes"), F.col("e.n").alias("words"))
 
 
-def fingerprints() -> Column:
-    """Array of (hash, at: number among the document's hashes, n: lines it covers)."""
+def grams() -> Column:
+    """Hashes of GRAM consecutive lines of a document."""
     n = F.size("hashes")
-    grams = F.when(n >= GRAM, F.transform(F.sequence(F.lit(0), n - GRAM), lambda i: F.xxhash64(*(F.get("hashes", i + j) for j in range(GRAM)))))
-    return grams
+    return F.when(n >= GRAM, F.transform(F.sequence(F.lit(0), n - GRAM), lambda i: F.xxhash64(*(F.get("hashes", i + j) for j in range(GRAM)))))
 
 
 def selected(d: DataFrame) -> DataFrame:
     """(doc, h, at): window minima of GRAM-line hashes, and long lines."""
-    d = d.withColumn("grams", fingerprints())
+    d = d.withColumn("grams", grams())
     # a gram is selected if it is the rightmost least of some window that holds it
     chosen = lambda i: F.exists(
         F.array(*(i - s for s in range(WINDOW))),

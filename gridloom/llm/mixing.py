@@ -51,8 +51,7 @@ def hypergeometric(rng: random.Random, good: int, bad: int, drawn: int) -> int:
     var = mean * (bad / n) * ((n - drawn) / max(1, n - 1))
     if var > 400:
         return min(high, max(low, round(rng.gauss(mean, var**0.5))))
-    p = k = int((drawn + 1) * (good + 1) / (n + 2))
-    p = k = min(high, max(low, k))
+    k = min(high, max(low, int((drawn + 1) * (good + 1) / (n + 2))))
     # weights relative to the mode's, outwards on both sides
     tail = {k: 1.0}
     w, i = 1.0, k
@@ -60,7 +59,7 @@ def hypergeometric(rng: random.Random, good: int, bad: int, drawn: int) -> int:
         w *= (good - i) * (drawn - i) / ((i + 1) * (bad - drawn + i + 1))
         i += 1
         tail[i] = w
-    w, i = 1.0, p
+    w, i = 1.0, k
     while i > low and w > 1e-16:
         w *= i * (bad - drawn + i) / ((good - i + 1) * (drawn - i + 1))
         i -= 1
