@@ -19,6 +19,8 @@ TRAIN_ROWS = 6_000
 STEM_ROWS, STEM_BYTES, STEMS = (20_000, 5_000), (4, 5, 6), 5_000
 #: Heuristics look for gross faults: they are taken to hit no more than this share of good documents. Without a bound, a fault that only one of them sees is as well explained as a way of good documents.
 MISFIRE = 0.003
+#: Words of the stretches by which repetition in long texts is judged, at least.
+PART = 1000
 #: Hashed features.
 FEATURES = 1 << 18
 #: Insults that a document of the kind `toxic` uses; fixed values.
@@ -76,6 +78,19 @@ def learned_stems(d: DataFrame, labels: DataFrame, place: str) -> np.ndarray:
     return np.sort(np.array([r["stem"] for r in found.orderBy(F.desc("t"), "stem").limit(STEMS).collect()], np.int64).view(U))
 
 
+def repeating(hashes: np.ndarray, first: np.ndarray) -> np.ndarray:
+    """Whether less than a quarter of a text's words are distinct. As the share of distinct words falls with length in good texts too, a text of 2 PART words or more is judged by all its stretches of PART to 2 PART words, at least half of which have to repeat, and, for what repeats at longer distances, by its distinct runs of five words."""
+    out = np.zeros(len(first) - 1, bool)
+    for i, (a, b) in enumerate(zip(first[:-1].tolist(), first[1:].tolist(), strict=True)):
+        cuts = np.linspace(a, b, max(1, (b - a) // PART) + 1).astype(np.int64).tolist()
+        low = [len(np.unique(hashes[x:y])) < 0.25 * (y - x) for x, y in zip(cuts[:-1], cuts[1:], strict=True)]
+        out[i] = 2 * sum(low) >= len(low)
+        if len(low) > 1 and not out[i]:
+            runs = sum(mix(hashes[a + j : b - 4 + j] + U(j)) for j in range(5))
+            out[i] = len(np.unique(runs)) < 0.25 * len(runs)
+    return out
+
+
 def votes(column: pa.Array, stems: np.ndarray) -> np.ndarray:
     """A row of votes for each text: -1 to reject it, 0 to abstain; counts are of whole texts."""
     raw, offsets = bytes_of(column)
@@ -87,7 +102,6 @@ def votes(column: pa.Array, stems: np.ndarray) -> np.ndarray:
     upper, lower = total((raw >= 65) & (raw <= 90), offsets), total((raw >= 97) & (raw <= 122), offsets)
     odd = total(np.isin(raw, np.frombuffer(b"#$%&*@^~|<>=+_{}[]", np.uint8)), offsets)
     bangs = total(raw == 33, offsets)
-    distinct = np.array([len(np.unique(hashes[a:b])) for a, b in zip(first[:-1].tolist(), first[1:].tolist(), strict=True)], np.int64)
     rude = total(insults[np.minimum(np.searchsorted(insults, bare), len(insults) - 1)] == bare, bare_first) if len(bare) else np.zeros(len(n), int)
     value, row = stem_hashes(column)
     stemmed = np.bincount(row[stems[np.minimum(np.searchsorted(stems, value), len(stems) - 1)] == value], minlength=len(n)) if len(stems) else np.zeros(len(n), int)
@@ -96,7 +110,7 @@ def votes(column: pa.Array, stems: np.ndarray) -> np.ndarray:
         odd > 0.03 * n,
         (upper > 0.5 * (upper + lower)) & (w >= 5),
         (bangs > 0.2 * w) & (w >= 5),
-        (distinct < 0.25 * w) & (w >= 40) & (w < 2000),
+        repeating(hashes, first) & (w >= 40),
         w == 0,
         (letters < 0.5 * n) & (n > 0),
         rude >= 1,

@@ -215,6 +215,21 @@ def test_quality(spark):
     assert quality.keep_good(d.where("false"), quality.fit(d.where("false"), labels.where("false"))).count() == 0
 
 
+def test_repetition_is_seen_at_every_length(spark):
+    rng = random.Random(8)
+    vocabulary = [f"w{chr(97 + i % 26)}{chr(97 + i // 26 % 26)}{chr(97 + i // 676)}" for i in range(3000)]
+    text = lambda n: " ".join(rng.choices(vocabulary, weights=[1 / (i + 10) for i in range(3000)], k=n))
+    good = [text(60) for _ in range(100)] + [text(n) for n in (1999, 2000, 3000, 30_000)]
+    passage = text(1500)
+    junk = ["spam " * n for n in (100, 1999, 2000, 3000, 20_000)] + ["buy it now " * 1500, text(900) + " spam" * 2100, " ".join([passage] * 12)]
+    seen = quality.votes(pa.array(good + junk), np.zeros(0, np.uint64))[:, quality.HEURISTICS.index("repeating")]
+    assert len(set(good[-1].split())) < 0.25 * 30_000
+    assert seen.tolist() == [0] * len(good) + [-1] * len(junk)
+    d = spark.createDataFrame(list(enumerate(good + junk)), "doc_id long, text string")
+    kept = {r.doc_id for r in quality.judged(d, quality.fit(d)).where("kept").collect()}
+    assert kept == set(range(len(good)))
+
+
 def test_expectation_maximisation_finds_accuracies():
     rng = np.random.default_rng(1)
     bad = rng.random(20_000) < 0.2
