@@ -9,7 +9,10 @@ from __future__ import annotations
 
 import hashlib
 import heapq
+from collections import Counter
 from collections.abc import Iterator
+from functools import lru_cache
+from math import exp, log
 
 import numpy as np
 import pandas as pd
@@ -24,8 +27,10 @@ from .textscan import BASE, U, mix
 SAMPLE, STEPS, SEED = 128, 3, 8
 #: Rows of the table of random bits, after which they repeat. Characters that walk together, at least.
 PERIOD, CHARS = 1 << 13, 24 << 20
-#: Bands of what a text shows, and positions a band.
-BANDS, ROWS = 24, 4
+#: For texts of less than so many characters, steps of a stretch that is a band, and walks. Stretches of a walk, at most; members of a block of a large bucket.
+WIDTHS, KEPT, BLOCK = ((14, 6, 16), (60, 8, 16), (400, 16, 16), (float("inf"), 16, 8)), 192, 512
+#: Random bits of walks, by seed.
+MOVES: dict[int, np.ndarray] = {}
 
 
 def moves(seed: int = SEED) -> np.ndarray:
@@ -237,54 +242,121 @@ def distance(a: str, b: str) -> int:
     return d
 
 
-def _banded(batches):
-    fp = Fingerprints()
-    for batch in batches:
-        texts = [t or "" for t in batch.column("text").to_pylist()]
-        grid = walk(texts, fp.positions, fp.bits)
-        rows = []
-        for i, t in enumerate(texts):
-            n = STEPS * len(t)
-            top = n.bit_length() - 1
-            bands = set()
-            for scale in (top, top - 1):  # a text just above a power of two also meets those just below
-                if scale >= 2:
-                    sample = fp.positions.of(1 << scale)
-                    pick = sample[np.argsort(np.array(fp.positions.rank)[sample])][: BANDS * ROWS]
-                    for b in range(len(pick) // ROWS):
-                        key = bytes([scale]) + b.to_bytes(2, "big") + grid[pick[b * ROWS : (b + 1) * ROWS], i].tobytes()
-                        bands.add(int.from_bytes(hashlib.blake2b(key, digest_size=8).digest(), "big", signed=True))
-            rows.append(sorted(bands))
-        yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array(rows, pa.list_(pa.int64()))], ["id", "bands"])
+def step_of(percent: int) -> float:
+    """Texts are dealt to classes by the logarithm of their length over this, so that two of a pair are at most one class apart."""
+    return 1.001 * max(0.01, log(100 / max(1, percent)))
+
+
+@lru_cache(maxsize=4096)
+def stretches(size: int, percent: int) -> tuple[int, int, tuple[int, ...]]:
+    """For texts of the classes size - 1 and size: steps a stretch, walks, and the steps its stretches start at, KEPT with the least hashes."""
+    least = exp((size - 1) * step_of(percent))
+    steps, walks = next((s, w) for below, s, w in WIDTHS if least < below)
+    steps = max(4, steps * 10 // max(10, 100 - percent))
+    at = np.arange(max(1, int(STEPS * least) // steps), dtype=U)
+    return steps, walks, tuple(np.sort(at[np.argsort(mix(at + U(1)), kind="stable")][:KEPT] * U(steps)).astype(np.int64).tolist())
+
+
+class Steps:
+    """Given positions, for walk()."""
+
+    def __init__(self, at: np.ndarray):
+        self.at = at
+
+    def extend(self, end: int) -> None:
+        pass
+
+
+def bands_of(texts: list[str], size: int, percent: int) -> list[np.ndarray]:
+    """Names of the stretches of texts of class size, for this class and the next; those that an end of a text falls into have none."""
+    out: list[list[np.ndarray]] = [[] for _ in texts]
+    for of in (size, size + 1):
+        steps, walks, starts = stretches(of, percent)
+        at = np.array(starts)[:, None] + np.arange(steps)
+        for seed in range(SEED, SEED + walks):
+            if seed not in MOVES:
+                MOVES[seed] = moves(seed)
+            grid = np.zeros((at.size, len(texts)), np.uint8)
+            shown = walk(texts, Steps(at.ravel()), MOVES[seed])
+            grid[: len(shown)] = shown
+            grid = grid.reshape(len(starts), steps, len(texts))
+            name = mix(np.array(starts, U) * U(BASE) + U(of << 8 | seed))[:, None] * np.ones((1, len(texts)), U)
+            for i in range(steps):
+                name = mix(name ^ grid[:, i].astype(U)) + U(i)
+            whole = (grid > 0).all(axis=1)
+            for i in range(len(texts)):
+                out[i].append(name[whole[:, i], i])
+    return [np.unique(np.concatenate(x)).view(np.int64) for x in out]
+
+
+def _banded(percent: int):
+    def run(batches):
+        for batch in batches:
+            ids, texts = batch.column("id").to_pylist(), batch.column("text").to_pylist()
+            sizes = [int(log(len(t)) / step_of(percent)) for t in texts]
+            order = sorted(range(len(texts)), key=sizes.__getitem__)
+            at = 0
+            while at < len(order):
+                to, chars = at, 0
+                while to < len(order) and to - at < 256 and sizes[order[to]] == sizes[order[at]] and chars < CHARS:
+                    chars += len(texts[order[to]])
+                    to += 1
+                rows = order[at:to]
+                yield pa.RecordBatch.from_arrays([pa.array([ids[i] for i in rows], pa.int64()), pa.array(bands_of([texts[i] for i in rows], sizes[rows[0]], percent), pa.list_(pa.int64()))], ["id", "bands"])
+                at = to
+
+    return run
+
+
+def apart(a: str, b: str) -> int:
+    """A lower bound of the edit distance: characters, with their numbers, that only one of the two has."""
+    x, y = Counter(a), Counter(b)
+    return max((x - y).total(), (y - x).total())
 
 
 def _verified(percent: int):
     def run(batches):
         for batch in batches:
             a, b = batch.column("text_a").to_pylist(), batch.column("text_b").to_pylist()
-            keep = [100 * distance(x, y) <= (100 - percent) * max(len(x), len(y)) for x, y in zip(a, b, strict=True)]
+            most = [(100 - percent) * max(len(x), len(y)) for x, y in zip(a, b, strict=True)]
+            keep = [100 * apart(x, y) <= m and 100 * distance(x, y) <= m for x, y, m in zip(a, b, most, strict=True)]
             yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b")], ["a", "b"]).filter(pa.array(keep))
 
     return run
 
 
+def across(seen: DataFrame, percent: int) -> DataFrame:
+    """Pairs (a, b) of a bucket's members of different components, whose lengths allow a link; seen: band, id, n, root. The members of a bucket are dealt to a grid of blocks, about BLOCK a side, so that no task holds a large bucket."""
+    counts = seen.groupBy("band").agg(F.ceil(F.count("*") / BLOCK).cast("long").alias("blocks"), F.countDistinct("root").alias("roots")).where("roots > 1").drop("roots")
+    dealt = seen.join(counts, "band").withColumn("own", F.pmod(F.xxhash64("id"), "blocks"))
+    left = dealt.select("band", F.col("own").alias("i"), F.explode(F.sequence("own", F.col("blocks") - 1)).alias("j"), F.col("id").alias("a"), F.col("n").alias("n_a"), F.col("root").alias("root_a"))
+    right = dealt.select("band", F.explode(F.sequence(F.lit(0).cast("long"), "own")).alias("i"), F.col("own").alias("j"), F.col("id").alias("b"), F.col("n").alias("n_b"), F.col("root").alias("root_b"))
+    allowed = (F.lit(100) * F.abs(F.col("n_a") - F.col("n_b")) <= F.lit(100 - percent) * F.greatest("n_a", "n_b")) & (F.col("root_a") != F.col("root_b")) & ((F.col("i") != F.col("j")) | (F.col("a") < F.col("b")))
+    return left.join(right, ["band", "i", "j"]).where(allowed).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+
+
 def near_by_edits(docs: DataFrame, percent: int = 90) -> DataFrame:
-    """(doc_id, component_id): rows of docs whose texts share a band with the least doc_id of its bucket and differ from that text by at most (100 - percent) % of the longer one's characters are linked.
+    """(doc_id, component_id): rows of docs whose texts share a band and differ by at most (100 - percent) % of the longer one's characters are linked.
 
-    Equal texts are one; null and empty texts and rows with null doc_id are linked with nothing. doc_ids are unique.
+    A band is what a walk shows over a stretch of steps in a row (WIDTHS). First every member of a bucket is held against its least doc_id, then, in buckets that still hold several components, against all members of other ones. At 90, pairs at the threshold with edits at random places are taken to share no band with a chance under 1e-4: an estimate from 150 pairs of each of eleven lengths from 10 to 900 characters, walks taken as independent; edits that are placed evenly on purpose, or another percent, may be missed more often. Equal texts are one; null and empty texts and rows with null doc_id are linked with nothing. doc_ids are unique.
     """
     base = shared_dir(docs.sparkSession)
     d = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text")).where("doc_id IS NOT NULL")
     distinct = written(d.where("text != ''").groupBy("text").agg(F.min("doc_id").alias("id")), f"{base}/distinct")
-    bands = distinct.mapInArrow(_banded, "id long, bands array<long>").select("id", F.explode("bands").alias("band"))
-    heads = bands.groupBy("band").agg(F.min("id").alias("head"))
-    pairs = bands.join(heads, "band").where("id != head").select(F.col("id").alias("a"), F.col("head").alias("b")).distinct()
+    bands = written(distinct.mapInArrow(_banded(percent), "id long, bands array<long>").select("id", F.explode("bands").alias("band")), f"{base}/bands")
+    heads = bands.groupBy("band").agg(F.min("id").alias("head"), F.count("*").alias("size")).where("size > 1").select("band", "head")
+    members = written(bands.join(heads, "band"), f"{base}/members")
     text = lambda x: distinct.select(F.col("id").alias(x), F.col("text").alias(f"text_{x}"))
-    links = written(pairs.join(text("a"), "a").join(text("b"), "b").mapInArrow(_verified(percent), "a long, b long"), f"{base}/links")
-    roots = components(links)
+    checked = lambda pairs, place: written(pairs.join(text("a"), "a").join(text("b"), "b").mapInArrow(_verified(percent), "a long, b long"), place)
+    stars = written(members.where("id != head").select(F.col("head").alias("a"), F.col("id").alias("b")).distinct(), f"{base}/stars")
+    links = checked(stars, f"{base}/links")
+    seen = members.join(components(links), F.col("id") == F.col("node"), "left").select("band", "id", F.coalesce("root", "id").alias("root"))
+    seen = written(seen.join(distinct.select("id", F.length("text").alias("n")), "id"), f"{base}/seen")
+    more = checked(across(seen, percent).join(stars, ["a", "b"], "left_anti"), f"{base}/more")
+    roots = components(links.union(more))
     of = distinct.join(roots, F.col("id") == F.col("node"), "left").select("text", F.coalesce("root", "id").alias("component_id"))
     out = written(d.join(of, "text", "left").select("doc_id", F.coalesce("component_id", "doc_id").alias("component_id")), f"{base}/found")
-    delete(docs.sparkSession, f"{base}/distinct", f"{base}/links")
+    delete(docs.sparkSession, *(f"{base}/{x}" for x in ("distinct", "bands", "members", "stars", "links", "seen", "more")))
     return out
 
 

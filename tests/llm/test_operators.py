@@ -390,6 +390,25 @@ def test_edit_distance_and_near_texts(spark):
     assert got == {1: 1, 2: 1, 3: 3, 4: 1, 5: 5, 6: 6}
 
 
+@pytest.mark.parametrize("size,block", [(30, 512), (120, 512), (360, 16)])
+def test_near_texts_are_found_at_every_corpus_size(spark, monkeypatch, size, block):
+    monkeypatch.setattr(fingerprints, "BLOCK", block)
+    rng = random.Random(size)
+    start = "this notice stands at the head of every text, "
+    texts = [start + "".join(rng.choices("etaoinshrdlu ", k=rng.randint(60, 100))) for _ in range(size // 2)]
+    for t in texts[: size - size // 2]:
+        c = list(t)
+        for _ in range(rng.randint(1, len(t) // 11)):
+            i = rng.randrange(len(c))
+            c[i : i + rng.randint(0, 1)] = rng.choices("etaoinshrdlu ", k=rng.randint(0, 1))
+        texts.append("".join(c))
+    near = lambda a, b: 10 * abs(len(a) - len(b)) <= max(len(a), len(b)) and 10 * fingerprints.distance(a, b) <= max(len(a), len(b))
+    links = [(i, j) for i in range(len(texts)) for j in range(i) if near(texts[i], texts[j])]
+    of = components.union(*np.array(links).T)
+    got = {r.doc_id: r.component_id for r in fingerprints.near_by_edits(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()}
+    assert len(links) >= size // 2 - 1 and got == {i: of.get(i, i) for i in range(len(texts))}
+
+
 # 9
 
 
