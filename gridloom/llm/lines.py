@@ -1,6 +1,6 @@
 """Line dedup by winnowing over line hashes.
 
-The unit is the line that is not blank, by the hash of its words (lower-cased, single spaces). Fingerprints of a document are hashes of GRAM consecutive lines; of every WINDOW consecutive ones the least is selected, the rightmost if several are, so that any run of GRAM + WINDOW - 1 lines that two places share has a fingerprint selected in both. A line of LONG words or more is a fingerprint by itself. Each selected fingerprint is joined with its first place in the corpus (smallest document, then line); from there, the match is extended both ways along the two documents for as long as lines agree, and the run is deleted in the later place.
+The unit is the line that is not blank, by the hash of its words (lower-cased, single spaces). Fingerprints of a document are hashes of GRAM consecutive lines; of every WINDOW consecutive ones the least is selected, the rightmost if several are, so that any run of GRAM + WINDOW - 1 lines that two places share has a fingerprint selected in both. GRAM consecutive lines of LONG words or more in all are always selected, and a line of LONG words or more is a fingerprint by itself, so that a passage of LONG words on so few lines has one too. Each selected fingerprint is joined with its first place in the corpus (smallest document, then line); from there, the match is extended both ways along the two documents for as long as lines agree, and the run is deleted in the later place.
 
 First places come from a grouping with partial aggregation, so a line that millions of documents share costs each of them one row. All of it is column expressions, joins and groupings.
 """
@@ -30,14 +30,15 @@ def grams() -> Column:
 
 
 def selected(d: DataFrame) -> DataFrame:
-    """(doc, h, at): window minima of GRAM-line hashes, and long lines."""
+    """(doc, h, at): window minima of GRAM-line hashes, those of LONG words or more, and long lines."""
     d = d.withColumn("grams", grams())
     # a gram is selected if it is the rightmost least of some window that holds it
     chosen = lambda i: F.exists(
         F.array(*(i - s for s in range(WINDOW))),
         lambda start: (start >= 0) & (start + WINDOW <= F.size("grams")) & F.forall(F.sequence(F.lit(0), F.lit(WINDOW - 1)), lambda j: F.when(start + j > i, F.get("grams", start + j) > F.get("grams", i)).otherwise(F.get("grams", start + j) >= F.get("grams", i))),
     )
-    by_gram = F.when(F.size("grams") > 0, F.filter(F.transform("grams", lambda g, i: F.struct(g.alias("h"), i.alias("at"), ((F.size("grams") < WINDOW) | chosen(i)).alias("ok"))), lambda x: x["ok"])).otherwise(F.array())
+    enough = lambda i: sum((F.get("words", i + j) for j in range(1, GRAM)), F.get("words", i)) >= LONG
+    by_gram = F.when(F.size("grams") > 0, F.filter(F.transform("grams", lambda g, i: F.struct(g.alias("h"), i.alias("at"), ((F.size("grams") < WINDOW) | enough(i) | chosen(i)).alias("ok"))), lambda x: x["ok"])).otherwise(F.array())
     by_line = F.filter(F.transform("hashes", lambda g, i: F.struct(F.xxhash64(g, F.lit("line")).alias("h"), i.alias("at"), (F.get("words", i) >= LONG).alias("ok"))), lambda x: x["ok"])
     kind = "array<struct<h:bigint,at:int,ok:boolean>>"
     return d.select("doc", F.explode(F.concat(by_gram.cast(kind), by_line.cast(kind))).alias("x")).select("doc", "x.h", "x.at")

@@ -174,6 +174,17 @@ def test_windows_that_occur_before_are_deleted(spark):
         before.update(w)
 
 
+def test_passages_on_two_lines_are_deleted(spark):
+    rng = random.Random(5)
+    line = lambda n: " ".join(f"{rng.randrange(10**6)}" for _ in range(n))
+    passages = [[line(a), line(50 - a)] for a in rng.choices(range(1, 50), k=60)]
+    short = [[line(20), line(29)] for _ in range(3)]
+    around = lambda p: "\n".join([line(9), line(9), *p, line(9), line(9)])
+    rows = [(i, around(p)) for i, p in enumerate(2 * passages)] + [(200 + i, around(p)) for i, p in enumerate(short)]
+    got = {r.doc_id: r.n_removed for r in lines.without_repeated_lines(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert [got[i] for i in range(120)] == [0] * 60 + [2] * 60 and not any(got[200 + i] for i in range(3))
+
+
 # 3
 
 
