@@ -23,8 +23,27 @@ MISFIRE = 0.003
 PART = 1000
 #: Hashed features.
 FEATURES = 1 << 18
-#: Insults that a document of the kind `toxic` uses; fixed values.
-INSULTS = "idiot moron stupid scum trash loser clown pathetic worthless disgusting"
+#: Words that hardly serve but to insult, in English, German, French, Spanish, Italian, Portuguese and Dutch; a general list, not taken from any table. None is a common word of another of these languages.
+INSULTS = (
+    "idiot idiots moron morons imbecile imbeciles scum scumbag scumbags dumbass asshole assholes arsehole arseholes cunt cunts dickhead dickheads dipshit douchebag fuckhead fucker fuckers motherfucker motherfuckers shithead shitheads twat wanker wankers dimwit halfwit nitwit numbskull cretin cretins lowlife lowlifes "
+    "idioten vollidiot vollidioten dummkopf schwachkopf hohlkopf trottel volltrottel vollpfosten arschloch wichser hurensohn missgeburt drecksau drecksack schlampe fotze abschaum blödmann spasti mistkerl "
+    "idiote idiotes imbécile imbéciles crétin crétins crétine abruti abrutis abrutie connard connards connasse salaud salauds salope salopes enculé enculés enfoiré enfoirés "
+    "idiota idiotas imbécil gilipollas cabrón cabrones pendejo pendejos pendeja hijoputa malnacido "
+    "stronzo stronzi stronza coglione coglioni cretino cretini cretina imbecille imbecilli vaffanculo "
+    "imbecil imbecis otário otária babaca babacas cuzão "
+    "klootzak klootzakken sukkel sukkels hufter kutwijf mafkees"
+)
+#: Words that insult people but are plain words as well, of things or in literature: two different ones within NEAR words are taken for an insult, one alone is not.
+MILD = (
+    "bastard bastards bitch bitches whore whores jackass stupid dumb fool fools foolish loser losers clown clowns trash garbage vermin pathetic worthless disgusting brainless coward cowards liar liars creep parasite parasites "
+    "depp deppen dumm blöd erbärmlich widerlich wertlos abfall müll ekelhaft hässlich clown feigling lügner "
+    "bouffon débile débiles pourriture ordures stupide stupides minable minables pathétique dégoûtant dégoûtante perdant perdante déchet déchets ordure clown menteur "
+    "capullo subnormal mamón escoria patético patética asqueroso asquerosa basura perdedor perdedora payaso payasa tonto tonta estúpido estúpida estúpidos estúpidas despreciable cobarde repugnante "
+    "bastardo bastardi puttana stupido stupida patetico patetica schifoso schifosa spazzatura perdente pagliaccio "
+    "escroto desgraçado patético nojento lixo perdedor palhaço "
+    "zielig walgelijk waardeloos "
+)
+NEAR = 20
 
 
 #: The heuristics, in the order of their votes.
@@ -96,13 +115,16 @@ def votes(column: pa.Array, stems: np.ndarray) -> np.ndarray:
     raw, offsets = bytes_of(column)
     hashes, first = word_hashes(column)
     bare, bare_first = word_hashes(_letters(column))
-    insults = np.sort(word_hashes(pa.array(INSULTS.split()))[0])
+    listed = lambda names: np.isin(bare, word_hashes(pa.array(names.split()))[0])
     total = lambda mask, at: np.diff(np.concatenate([[0], np.cumsum(mask)])[at])
     n, w = np.diff(offsets), np.diff(first)
     upper, lower = total((raw >= 65) & (raw <= 90), offsets), total((raw >= 97) & (raw <= 122), offsets)
     odd = total(np.isin(raw, np.frombuffer(b"#$%&*@^~|<>=+_{}[]", np.uint8)), offsets)
     bangs = total(raw == 33, offsets)
-    rude = total(insults[np.minimum(np.searchsorted(insults, bare), len(insults) - 1)] == bare, bare_first) if len(bare) else np.zeros(len(n), int)
+    mild = np.flatnonzero(listed(MILD))
+    of = np.searchsorted(bare_first, mild, "right") - 1
+    close = (np.diff(mild) <= NEAR) & (of[1:] == of[:-1]) & (bare[mild[1:]] != bare[mild[:-1]])
+    rude = total(listed(INSULTS), bare_first) + np.bincount(of[1:][close], minlength=len(n))
     value, row = stem_hashes(column)
     stemmed = np.bincount(row[stems[np.minimum(np.searchsorted(stems, value), len(stems) - 1)] == value], minlength=len(n)) if len(stems) else np.zeros(len(n), int)
     letters = upper + lower + total(raw >= 128, offsets)

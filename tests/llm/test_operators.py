@@ -241,6 +241,17 @@ def test_repetition_is_seen_at_every_length(spark):
     assert kept == set(range(len(good)))
 
 
+def test_insults_outside_one_table_and_mild_words_once(spark):
+    rng = random.Random(9)
+    v = ["the", "river", "runs", "under", "bridge", "stone", "light", "morning", "people", "walk", "slowly", "home", "again", "before", "winter", "comes"]
+    text = lambda *more: " ".join([*rng.choices(v, k=20), *more, *rng.choices(v, k=20)])
+    clean = [text() for _ in range(200)] + [text(w) for w in ("trash", "clown", "Trash.", "stupid", "Müll", "basura")] + [text("trash", "trash"), text("trash", *rng.choices(v, k=30), "clown")]
+    toxic = [text(*w) for w in (("asshole",), ("wankers!", "bastard"), ("Arschloch",), ("Vollidiot", "Abschaum"), ("connard",), ("enfoiré", "salaud"), ("gilipollas",), ("Pendejo",), ("stronzo",), ("trash", "clown"), ("pathetic", "loser", "worthless"))]
+    d = spark.createDataFrame(list(enumerate(clean + toxic)), "doc_id long, text string")
+    kept = {r.doc_id for r in quality.judged(d, quality.fit(d)).where("kept").collect()}
+    assert kept == set(range(len(clean)))
+
+
 def test_expectation_maximisation_finds_accuracies():
     rng = np.random.default_rng(1)
     bad = rng.random(20_000) < 0.2
