@@ -29,7 +29,7 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group linked by five-word shingles at a similarity of 0.8: the one with the smallest doc_id. Rows with a null doc_id stay, as do rows that repeat a kept one's doc_id."""
+    """One document of each group linked by five-word shingles at a similarity of 0.8: the one with the smallest doc_id. Rows with a null doc_id stay, as do rows that repeat a kept one's doc_id. Rows go by doc_id: where one comes with two texts and either is a copy of a smaller doc_id's, both go, also a text that no other row has."""
     found = near_duplicates(docs, k=5, percent=80)
     return _without(docs, written(found.where("NOT kept AND doc_id IS NOT NULL").select("doc_id").distinct(), shared_dir(spark)))
 
