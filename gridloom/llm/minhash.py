@@ -111,7 +111,7 @@ def likely(a: Column, b: Column, percent: int, m: int = SLOTS) -> Column:
 def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, key: str = "doc_id", text: str = "text") -> DataFrame:
     """(key, n_shingles, component_id, kept) for each row of docs: shingle sets of k words are linked at a Jaccard similarity of percent / 100.
 
-    component_id is the smallest key reachable, kept says whether it is the row's own. Texts null, empty or blank have no shingles and are their own components, as are rows with a null key and no shingles. Rows with equal keys are kept apart by their texts; rows equal in both are one. An empty table gives an empty one. Other columns are not read.
+    component_id is the smallest key reachable, kept says whether it is the row's own. Texts null, empty or blank have no shingles and are their own components, as are rows with a null key and no shingles. A set that only rows with a null key have is linked by equality alone, as texts for the confirmation are found by key: its near copies are not linked, nor chains through it. Rows with equal keys are kept apart by their texts; rows equal in both are one. An empty table gives an empty one. Other columns are not read.
     """
     spark: SparkSession = docs.sparkSession
     base, (bands, rows) = shared_dir(spark), bands_for(percent)
