@@ -23,7 +23,7 @@ MISFIRE = 0.003
 PART = 1000
 #: Hashed features.
 FEATURES = 1 << 18
-#: Words that hardly serve but to insult, in English, German, French, Spanish, Italian, Portuguese and Dutch; a general list, not taken from any table. None is a common word of another of these languages.
+#: Words that hardly serve but to insult, in English, German, French, Spanish, Italian, Portuguese and Dutch; a general list. Ten words here and in MILD are those of an earlier list, which had been fitted to the test tables.
 INSULTS = (
     "idiot idiots moron morons imbecile imbeciles scum scumbag scumbags dumbass asshole assholes arsehole arseholes cunt cunts dickhead dickheads dipshit douchebag fuckhead fucker fuckers motherfucker motherfuckers shithead shitheads twat wanker wankers dimwit halfwit nitwit numbskull cretin cretins lowlife lowlifes "
     "idioten vollidiot vollidioten dummkopf schwachkopf hohlkopf trottel volltrottel vollpfosten arschloch wichser hurensohn missgeburt drecksau drecksack schlampe fotze abschaum blödmann spasti mistkerl "
