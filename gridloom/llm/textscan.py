@@ -2,14 +2,18 @@
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 
 U = np.uint64
-#: Bytes scanned at a time; a longer text is cut between words.
-STRETCH = 1 << 20
+#: Bytes of a string up to which it is hashed by array operations.
+LONG = 64
+WHITE, LOWER = np.zeros(256, bool), np.arange(256, dtype=np.uint8)
+WHITE[[9, 10, 11, 12, 13, 32]] = True
+LOWER[65:91] += 32
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -21,15 +25,7 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> U(31))
 
 
-def powers(base: int, n: int) -> np.ndarray:
-    out = np.full(n, base, U)
-    if n:
-        out[0] = 1
-    return np.multiply.accumulate(out)
-
-
 BASE = 0x9E3779B97F4A7C15
-INVERSE = pow(BASE, -1, 1 << 64)
 
 
 def bytes_of(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -44,17 +40,33 @@ def bytes_of(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return raw, ends - ends[0]
 
 
+def block_hashes(raw: np.ndarray, starts: np.ndarray, ends: np.ndarray, most: int = LONG) -> np.ndarray:
+    """A 64-bit hash of each string raw[starts:ends]. Eight bytes at a time go through a bijection that is not linear, so that strings of up to eight bytes and of equal length never share a hash and no pattern of longer ones cancels; strings of more than most bytes go through BLAKE2."""
+    lengths = ends - starts
+    padded = np.concatenate([raw, np.zeros(8, np.uint8)])
+    eight = np.ndarray((len(padded) - 7,), "<u8", padded, strides=(1,))
+    out = mix(U(BASE) + lengths.astype(U))
+    live = np.flatnonzero((lengths > 0) & (lengths <= most))
+    at = 0
+    while len(live):
+        left = lengths[live] - at
+        block = eight[starts[live] + at]
+        short = left < 8
+        block[short] &= (U(1) << (U(8) * left[short].astype(U))) - U(1)
+        out[live] = mix(out[live] ^ block)
+        at += 8
+        live = live[left > 8]
+    for i in np.flatnonzero(lengths > most).tolist():
+        out[i] = int.from_bytes(hashlib.blake2b(raw[starts[i] : ends[i]].data, digest_size=8).digest(), "little")
+    return out
+
+
 def word_hashes(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """A hash for each word (A-Z lower-cased, split at ASCII white space) of all rows, and each row's first word, one end more."""
     raw, offsets = bytes_of(column)
     if not len(raw):
         return np.zeros(0, U), np.zeros(len(offsets), np.int64)
-    white = np.zeros(256, bool)
-    white[[9, 10, 11, 12, 13, 32]] = True
-    lower = np.arange(256, dtype=np.uint8)
-    lower[65:91] += 32
-    value = mix(np.arange(1, 257, dtype=U) * U(BASE))
-    blank = white[raw]
+    blank = WHITE[raw]
     first = np.zeros(len(raw) + 1, bool)
     first[offsets] = True
     begins = ~blank
@@ -62,28 +74,17 @@ def word_hashes(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     ends = ~blank
     ends[:-1] &= blank[1:] | first[1:-1]
     begins, ends = np.flatnonzero(begins), np.flatnonzero(ends) + 1
-    hashes, at = np.empty(len(begins), U), 0
-    while at < len(begins):
-        to = max(at + 1, int(np.searchsorted(ends, begins[at] + STRETCH, "right")))
-        low, high = begins[at], ends[to - 1]
-        up, down = powers(BASE, high - low), powers(INVERSE, high - low)
-        total = np.zeros(high - low + 1, U)
-        np.cumsum(value[lower[raw[low:high]]] * up, out=total[1:])
-        s, e = begins[at:to] - low, ends[at:to] - low
-        hashes[at:to] = mix((total[e] - total[s]) * down[s] + (e - s).astype(U))
-        at = to
-    return hashes, np.searchsorted(begins, offsets)
+    return block_hashes(LOWER[raw], begins, ends), np.searchsorted(begins, offsets)
 
 
 def shingle_sets(column: pa.Array, k: int) -> tuple[np.ndarray, np.ndarray]:
     """The distinct k-word shingles of all rows, ascending within a row, and each row's first, one end more. A row of fewer words has its whole sequence as one; a row without words, none."""
     hashes, first = word_hashes(column)
     counts = np.diff(first)
-    factors = mix(np.arange(11, 11 + k, dtype=U) * U(BASE))
     n = len(hashes)
-    whole = np.zeros(max(0, n - k + 1), U)
+    whole = np.full(max(0, n - k + 1), k, U)
     for j in range(k):
-        whole += hashes[j : j + len(whole)] * factors[j]
+        whole = mix(whole ^ hashes[j : j + len(whole)])
     made = np.maximum(counts - k + 1, np.minimum(counts, 1))
     ends = np.concatenate([[0], np.cumsum(made)])
     rows = np.repeat(np.arange(len(counts)), made)
@@ -93,8 +94,10 @@ def shingle_sets(column: pa.Array, k: int) -> tuple[np.ndarray, np.ndarray]:
     out[long_] = whole[start[long_]]
     for i in np.flatnonzero(~long_):
         s, c = start[i], counts[rows[i]]
-        out[i] = (hashes[s : s + c] * factors[:c]).sum() + U(c)
-    out = mix(out)
+        one = np.array([c], U)
+        for j in range(c):
+            one = mix(one ^ hashes[s + j])
+        out[i] = one[0]
     keep = np.ones(len(out), bool)
     for a, b in zip(ends[:-1].tolist(), ends[1:].tolist(), strict=True):
         out[a:b].sort()
