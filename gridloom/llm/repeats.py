@@ -1,17 +1,18 @@
-"""Exact repeats of LENGTH bytes and more, by hashes of contexts at sampled anchors.
-
-The method asked for, longest-previous-factor arrays, was exchanged: there is no suffix order and no common-prefix length. Only whether LENGTH bytes came before is asked, which equal hashes of these bytes answer, up to 64-bit collisions.
+"""Exact repeats of LENGTH bytes and more, by longest-previous-factor arrays over dealt groups of strings.
 
 A byte string of LENGTH bytes has an anchor: of its GRAM-byte grams, the (leftmost) one with the least hash. Equal strings have equal anchors at equal places, so anchors, about one in 35 bytes, deal strings to groups in which all their repeats are. An anchor stands for the strings around it, its context.
 
 1. Each task finds the anchors of its documents. Of equal contexts all but the first are repeats throughout; only the first goes on, so that a passage with many copies costs each task one row.
-2. Dealt by anchor, equal contexts are settled over all tasks the same way; anchors that are left with one context have no further repeats.
-3. For the others, mostly where repeats begin and end, contexts are read again and the LENGTH bytes at each place sorted by their first 16 bytes and then a hash of all. Contexts of an anchor that has more than CROWD of them, such as a common line in different surroundings, are taken apart: each string goes on by itself, dealt by its own hash, so that no task gets the crowd. Of a run of equal ones, all but the first place are repeats.
+2. Dealt by anchor and sorted, equal contexts are settled over all tasks the same way; anchors that are left with one context have no further repeats. Contexts count as equal if two 64-bit hashes are, of the anchor and, by other arithmetic, of the whole context.
+3. For the others, mostly where repeats begin and end, the bytes of contexts are read again and each group gets its suffix order (prefix doubling up to LENGTH bytes), common-prefix lengths of neighbours, and from the previous and next smaller place of each suffix its longest previous factor, all capped at LENGTH. Where that is LENGTH, the string came before. Contexts of an anchor that has more than CROWD of them, such as a common line in different surroundings, are taken apart: each string goes on by itself, dealt by its own hash, once a place for each slice of a task, so that no task gets the crowd.
 4. Starts of repeats are gathered by document and the bytes they cover are cut.
+
+Groups are read from sorted partitions, so a task holds SORTED strings at a time, however large its partition or a group is.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -19,7 +20,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import joined, shared_dir, table, written
-from .textscan import BASE, INVERSE, U, bytes_of, mix, powers, slices
+from .textscan import BASE, U, block_hashes, bytes_of, mix, slices
 
 LENGTH, GRAM = 100, 32
 #: Strings an anchor may stand for. Bytes scanned at a time; positions of a stretch fit into its low bits.
@@ -28,14 +29,22 @@ WINDOW, STRETCH = LENGTH - GRAM + 1, 1 << 20
 HELD = 1_000_000
 #: Contexts of an anchor beyond which they are dealt by string.
 CROWD = 1_000
-#: Suffixes sorted at a time.
+#: Strings put into suffix order at a time.
 SORTED = 500_000
 ROW = "h long, c long, doc long, at long, span int"
 NAMES = ["h", "c", "doc", "at", "span"]
+INVERSE = pow(BASE, -1, 1 << 64)
+
+
+def powers(base: int, n: int) -> np.ndarray:
+    out = np.full(n, base, U)
+    if n:
+        out[0] = 1
+    return np.multiply.accumulate(out)
 
 
 def prefix_hashes(raw: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Sums of which the hash of raw[a:b] is (total[b] - total[a]) * down[a]."""
+    """Sums of which the hash of raw[a:b] is (total[b] - total[a]) * down[a]; for dealing only, as patterned strings of a thousand bytes can share one."""
     value = mix(np.arange(1, 257, dtype=U) * U(BASE))
     total = np.zeros(len(raw) + 1, U)
     np.cumsum(value[raw] * powers(BASE, len(raw)), out=total[1:])
@@ -63,7 +72,7 @@ def anchors(raw: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.n
     first = np.flatnonzero(new)
     last = np.append(first[1:], len(p)) - 1
     a, lo, hi = place[first], p[first], p[last]
-    context = mix((total[hi + LENGTH] - total[lo]) * down[lo] + (a - lo).astype(U) * U(BASE))
+    context = mix(block_hashes(raw, lo, hi + LENGTH, 2 * LENGTH) ^ (a - lo).astype(U))
     return text[first], a, lo, hi, grams[a], context
 
 
@@ -105,12 +114,14 @@ def _gone(doc: np.ndarray, lo: np.ndarray, hi: np.ndarray) -> pa.RecordBatch:
 
 
 def _settled(h, c, doc, at, span):
-    """Sorted by anchor, context and place; whether each is the first of its context."""
+    """Sorted by anchor, context and place, each place once; whether each is the first of its context."""
     order = np.lexsort((at, doc, c, h))
     h, c, doc, at, span = (x[order] for x in (h, c, doc, at, span))
     new = np.ones(len(h), bool)
     new[1:] = (h[1:] != h[:-1]) | (c[1:] != c[:-1])
-    return h, c, doc, at, span, new
+    once = new.copy()
+    once[1:] |= (doc[1:] != doc[:-1]) | (at[1:] != at[:-1])  # rows that repeat a document
+    return tuple(x[once] for x in (h, c, doc, at, span, new))
 
 
 def _found(batches):
@@ -139,106 +150,201 @@ def _found(batches):
 
 
 def _shared(batches):
-    parts = [[np.asarray(c) for c in b.columns] for b in batches if b.num_rows]
-    if not parts:
-        return
-    h, c, doc, at, span = (np.concatenate(x) for x in zip(*parts, strict=True))
-    gone = span < 0
-    yield pa.RecordBatch.from_arrays([pa.array(x[gone]) for x in (h, c, doc, at)] + [pa.array(span[gone].astype(np.int32))], NAMES)
-    h, c, doc, at, span, new = _settled(*(x[~gone] for x in (h, c, doc, at, span)))
-    old = ~new
-    yield _gone(doc[old], at[old] - (span[old] >> 8), at[old] - (span[old] & 255))
-    h, c, doc, at, span = (x[new] for x in (h, c, doc, at, span))
-    again = np.zeros(len(h), bool)
-    again[1:] = h[1:] == h[:-1]
-    again[:-1] |= h[1:] == h[:-1]
-    yield _rows(h[again], c[again], doc[again], at[again], span[again])
+    """Of anchors sorted by anchor, context and place: contexts that are not alone at their anchor, and repeats as rows of span -1."""
+    last = held = None  # the last row seen, and the last context found, not handed on yet
+    for batch in batches:
+        h, c, doc, at, span = (np.asarray(x) for x in batch.columns)
+        gone = span < 0
+        if gone.any():
+            yield _rows(h[gone], c[gone], doc[gone], at[gone], span[gone])
+        h, c, doc, at, span = (x[~gone] for x in (h, c, doc, at, span))
+        if not len(h):
+            continue
+        before = [np.concatenate([[x[0] if last is None else y], x[:-1]]) for x, y in zip((h, c, doc, at), last or (0,) * 4, strict=True)]
+        new = (h != before[0]) | (c != before[1])
+        old = ~new & ((doc != before[2]) | (at != before[3]))
+        new[0] |= last is None
+        last = (h[-1], c[-1], doc[-1], at[-1])
+        if old.any():
+            yield _gone(doc[old], at[old] - (span[old] >> 8), at[old] - (span[old] & 255))
+        found = [x[new] for x in (h, c, doc, at, span)]
+        if held is not None:
+            found = [np.concatenate([[y], x]) for x, y in zip(found, held[:5], strict=True)]
+        if not len(found[0]):
+            continue
+        same = found[0][1:] == found[0][:-1]
+        shared = np.append(same, False) | np.append(held is not None and held[5], same)
+        fresh = shared.copy()
+        fresh[0] &= held is None or not held[5]  # a context that was known to have company has been handed on
+        yield _rows(*(x[fresh] for x in found))
+        held = (*(x[-1] for x in found), bool(shared[-1]))
 
 
 def _contexts(batches):
+    """The bytes around anchors, and of crowds every string by itself, the first of equal ones in a slice; what came before it there is gone: data is null."""
     for batch in slices(batches, "text"):
         raw, offsets = bytes_of(batch.column("text"))
-        out = []
+        out, alone = [], {}
         for doc, start, items in zip(batch.column("doc").to_pylist(), offsets[:-1].tolist(), batch.column("items").to_pylist(), strict=True):
             for i in items:
                 lo, hi = i["at"] - (i["span"] >> 8), i["at"] - (i["span"] & 255)
                 if i["crowd"]:
-                    part = raw[start + lo : start + hi + LENGTH]
-                    total, down = prefix_hashes(part)
-                    own = mix((total[LENGTH:] - total[:-LENGTH]) * down[: hi - lo + 1]).view(np.int64).tolist()
-                    out += [(h, doc, lo + k, part[k : k + LENGTH].tobytes()) for k, h in enumerate(own)]
-                    continue
-                out.append((i["h"], doc, lo, raw[start + lo : start + hi + LENGTH].tobytes()))
+                    alone |= {(doc, lo + k): start + lo + k for k in range(hi - lo + 1)}
+                else:
+                    out.append((i["h"], doc, lo, raw[start + lo : start + hi + LENGTH].tobytes()))
+        if alone:
+            doc, lo, at = np.array([(*place, at) for place, at in sorted(alone.items())], np.int64).T
+            gone = earlier(raw, at)
+            own = block_hashes(raw, at, at + LENGTH, LENGTH).view(np.int64)
+            out += [(int(own[i]), int(doc[i]), int(lo[i]), None if gone[i] else raw[at[i] : at[i] + LENGTH].tobytes()) for i in range(len(at))]
         if out:
             h, doc, lo, data = zip(*out, strict=True)
             yield pa.RecordBatch.from_arrays([pa.array(h, pa.int64()), pa.array(doc, pa.int64()), pa.array(lo, pa.int64()), pa.array(data, pa.binary())], ["h", "doc", "lo", "data"])
 
 
-def earlier(raw: np.ndarray, at: np.ndarray, doc: np.ndarray, place: np.ndarray) -> np.ndarray:
-    """Whether the suffix of raw at each of at has a match of LENGTH bytes at an earlier place; no more than SORTED suffixes are sorted at a time, equal ones together."""
-    total, down = prefix_hashes(raw)
-    out = np.zeros(len(at), bool)
-    passes = -(-len(at) // SORTED)
-    for turn in range(passes):
-        whole = mix((total[at + LENGTH] - total[at]) * down[at])
-        now = np.flatnonzero(whole % U(passes) == U(turn)) if passes > 1 else np.arange(len(at))
-        if not len(now):
-            continue
-        whole, a = whole[now], at[now]
-        order = np.lexsort((place[now], doc[now]))
-        rank = np.empty(len(now), np.int32)
-        rank[order] = np.arange(len(now), dtype=np.int32)
-        keys = []
-        for start in (0, 8):
-            word = np.zeros(len(now), U)
-            for i in range(8):
-                word = word << U(8) | raw[a + start + i]
-            keys.append(word)
-        keys.append(whole)
-        order = np.lexsort(keys[::-1])
-        # places with equal keys form runs; within one, all but the lowest rank came before
-        new = np.ones(len(now), bool)
-        for i, k in enumerate(keys):
-            k = k[order]
-            new[1:] = (k[1:] != k[:-1]) | (new[1:] if i else False)
-        starts, ranked = np.flatnonzero(new), rank[order]
-        lowest = np.repeat(np.minimum.reduceat(ranked, starts), np.diff(np.append(starts, len(now))))
-        out[now[order]] = ranked > lowest
+def dense(keys: np.ndarray) -> np.ndarray:
+    """The rank of each key among the distinct ones."""
+    return np.unique(keys, return_inverse=True)[1].astype(np.int64)
+
+
+def suffix_order(raw: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The suffixes of raw at each of at in order of their first LENGTH bytes, equal ones as they are given, and the common-prefix length, up to LENGTH, of each with the one before; by prefix doubling."""
+    eight = np.ndarray((max(0, len(raw) - 7),), ">u8", raw, strides=(1,))
+    # ranks of the bytes at every offset that is needed, from eight bytes on
+    levels, width, reach = [], 8, np.unique((at[:, None] + np.arange(LENGTH - 7)).ravel()) if len(at) < len(raw) // LENGTH else np.arange(len(raw) - 7)
+    rank = np.zeros(len(raw), np.int64)
+    rank[reach] = dense(eight[reach].astype(U))
+    while True:
+        levels.append((width, rank))
+        if width == LENGTH:
+            break
+        step = min(width, LENGTH - width)
+        reach = reach[reach + step + width <= len(raw)]
+        last = width + step == LENGTH
+        reach = at if last else reach
+        doubled = np.zeros(len(raw), np.int64)
+        doubled[reach] = dense(rank[reach] * np.int64(len(raw) + 1) + rank[reach + step])
+        width, rank = width + step, doubled
+    order = np.argsort(rank[at], kind="stable")
+    a, b = at[order][:-1], at[order][1:]
+    same = np.append(False, rank[a] == rank[b])
+    common = np.zeros(len(at), np.int64)
+    common[same] = LENGTH
+    a, b, left = a[~same[1:]], b[~same[1:]], np.zeros(int((~same[1:]).sum()), np.int64)
+    for width, rank in levels[-2::-1]:
+        left += np.where((left + width <= LENGTH) & (rank[a + left] == rank[b + left]), width, 0)
+    byte = np.ones(len(left), bool)
+    for _ in range(7):
+        byte &= raw[a + left] == raw[b + left]
+        left += byte
+    common[1:][~same[1:]] = left
+    return order, common
+
+
+def previous_factors(order: np.ndarray, common: np.ndarray, place: np.ndarray, least: int = 0) -> np.ndarray:
+    """The longest previous factor of each suffix: its longest common prefix with one at a smaller place, which is the next before or after it in suffix order that has a smaller place. Where that is under least, it may be given as less than it is."""
+    n, out = len(order), np.zeros(len(order), np.int64)
+    spot = place[order]
+    for back in (True, False):
+        ranked, to = (spot, common) if back else (spot[::-1], np.append(common[1:], 0)[::-1])
+        # candidates walk towards the smaller place; between a suffix and its candidate all places are larger
+        near, shared = np.arange(n) - 1, to.copy()
+        open_ = np.flatnonzero((near >= 0) & (shared >= least))
+        while len(open_):
+            open_ = open_[(near[open_] >= 0) & (shared[open_] >= max(least, 1))]
+            open_ = open_[ranked[np.maximum(near[open_], 0)] >= ranked[open_]]
+            via = near[open_]
+            shared[open_], near[open_] = np.minimum(shared[open_], shared[via]), near[via]
+        shared[near < 0] = 0
+        smaller = np.zeros(n, bool)
+        smaller[near >= 0] = ranked[near[near >= 0]] < ranked[near >= 0]
+        shared[~smaller] = 0
+        out[order] = np.maximum(out[order], shared if back else shared[::-1])
     return out
 
 
+def earlier(raw: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """Whether the longest previous factor of the suffix at each of at, which are in order of place, has LENGTH bytes."""
+    order, common = suffix_order(raw, at)
+    return previous_factors(order, common, np.arange(len(at)), LENGTH) >= LENGTH
+
+
+def _groups(batches) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, pa.Array, bool]]:
+    """Whole groups of equal h with about SORTED strings together, from batches sorted by h; a larger group comes in parts, of which all but the last are marked."""
+    held, strings = [], 0
+    for batch in batches:
+        at = 0
+        while at < batch.num_rows:
+            n = np.asarray(pa.compute.binary_length(batch.column("data")))[at:] - LENGTH + 1
+            to = at + max(1, int(np.searchsorted(np.cumsum(n) + strings, SORTED, "right")))
+            held.append(batch.slice(at, to - at))
+            strings += int(n[: to - at].sum())
+            at = to
+            if strings < SORTED * 0.9 and at >= batch.num_rows:
+                continue
+            rows = pa.Table.from_batches(held)
+            h = rows["h"].to_numpy()
+            cut = int(np.searchsorted(h, h[-1]))
+            if cut:  # the last group may go on
+                yield rows.slice(0, cut), False
+                held, strings = rows.slice(cut).combine_chunks().to_batches(), int((np.asarray(pa.compute.binary_length(rows["data"].slice(cut).combine_chunks())) - LENGTH + 1).sum())
+            elif strings >= SORTED:
+                left = yield rows, True
+                held, strings = left.combine_chunks().to_batches(), left.num_rows
+    if held:
+        yield pa.Table.from_batches(held), False
+
+
 def _matched(batches):
-    parts = [b for b in batches if b.num_rows]
-    if not parts:
-        return
-    rows = pa.Table.from_batches(parts)
-    rows = rows.take(pa.array(np.argsort(rows["h"].to_numpy(), kind="stable")))
-    h, docs, los = (rows[c].to_numpy() for c in ("h", "doc", "lo"))
-    lengths = pa.compute.binary_length(rows["data"]).to_numpy().astype(np.int64)
-    strings = np.cumsum(lengths - LENGTH + 1)
-    groups = np.append(np.flatnonzero(np.append(True, h[1:] != h[:-1])), len(h))
-    at = 0
-    while at < len(groups) - 1:
-        # whole groups with about SORTED strings
-        before = strings[groups[at] - 1] if groups[at] else 0
-        to = max(at + 1, int(np.searchsorted(strings[groups[1:] - 1], before + SORTED, "right")))
-        a, b = groups[at], groups[to]
-        at = to
-        raw = np.frombuffer(b"".join(rows["data"].slice(a, b - a).to_pylist()), np.uint8)
-        n = lengths[a:b] - LENGTH + 1
-        row = np.repeat(np.arange(b - a), n)
+    def known(batch: pa.RecordBatch) -> pa.RecordBatch:
+        return batch.filter(pa.compute.is_valid(batch.column("data")))
+
+    def told():
+        for batch in batches:
+            gone = batch.filter(pa.compute.is_null(batch.column("data")))
+            if gone.num_rows:
+                doc, lo = gone.column("doc").to_numpy(), gone.column("lo").to_numpy()
+                found.append(_gone(doc, lo, lo))
+            if len(rest := known(batch)):
+                yield rest
+
+    found: list[pa.RecordBatch] = []
+    groups = _groups(told())
+    send = None
+    while True:
+        try:
+            rows, part = groups.send(send)
+        except StopIteration:
+            break
+        send = None
+        docs, los = rows["doc"].to_numpy(), rows["lo"].to_numpy()
+        lengths = np.asarray(pa.compute.binary_length(rows["data"].combine_chunks())).astype(np.int64)
+        raw = np.frombuffer(b"".join(rows["data"].to_pylist()), np.uint8)
+        n = lengths - LENGTH + 1
+        row = np.repeat(np.arange(len(n)), n)
         i = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
-        begins = np.cumsum(lengths[a:b]) - lengths[a:b]
-        doc, place = docs[a:b][row], los[a:b][row] + i
-        gone = earlier(raw, begins[row] + i, doc, place)
-        yield _gone(doc[gone], place[gone], place[gone])
+        doc, place, at = docs[row], los[row] + i, (np.cumsum(lengths) - lengths)[row] + i
+        order = np.lexsort((place, doc))
+        once = np.ones(len(order), bool)
+        once[1:] = (np.diff(doc[order]) != 0) | (np.diff(place[order]) != 0)
+        order = order[once]
+        doc, place, at = doc[order], place[order], at[order]
+        gone = earlier(raw, at)
+        found.append(_gone(doc[gone], place[gone], place[gone]))
+        if part:  # what is left of the group so far stands for it
+            h = rows["h"][-1].as_py()
+            left = ~gone
+            send = pa.table({"h": pa.array([h] * int(left.sum()), pa.int64()), "doc": doc[left], "lo": place[left], "data": pa.array([raw[x : x + LENGTH].tobytes() for x in at[left]], pa.binary())})
+        yield from found
+        found.clear()
+    yield from found
 
 
 def _cut(batches):
     for batch in slices(batches, "text"):
         raw, offsets = bytes_of(batch.column("text"))
         out = []
-        for doc, a, b, spans in zip(batch.column("doc").to_pylist(), offsets[:-1].tolist(), offsets[1:].tolist(), batch.column("spans").to_pylist(), strict=True):
+        for key, a, b, spans in zip(batch.column("key").to_pylist(), offsets[:-1].tolist(), offsets[1:].tolist(), batch.column("spans").to_pylist(), strict=True):
             text, runs = raw[a:b], 0
             kept = text
             if spans:
@@ -248,30 +354,42 @@ def _cut(batches):
                     step[s["hi"] + LENGTH] -= 1
                 covered = np.cumsum(step[:-1]) > 0
                 runs, kept = int(covered[0]) + int(np.count_nonzero(covered[1:] & ~covered[:-1])), text[~covered]
-            out.append((doc, b - a, b - a - len(kept), runs, kept.tobytes()))
-        doc, n, removed, runs, kept = zip(*out, strict=True)
-        yield pa.RecordBatch.from_arrays([pa.array(doc, pa.int64()), pa.array(n, pa.int64()), pa.array(removed, pa.int64()), pa.array(runs, pa.int64()), pa.array(kept, pa.binary())], ["doc", "n_bytes", "n_removed", "n_spans", "kept"])
+            out.append((key, b - a, b - a - len(kept), runs, kept.tobytes()))
+        key, n, removed, runs, kept = zip(*out, strict=True)
+        yield pa.RecordBatch.from_arrays([pa.array(key, pa.int64()), pa.array(n, pa.int64()), pa.array(removed, pa.int64()), pa.array(runs, pa.int64()), pa.array(kept, pa.binary())], ["key", "n_bytes", "n_removed", "n_spans", "kept"])
+
+
+def numbered(d: DataFrame, place: str) -> DataFrame:
+    """d (key, text) with doc, a number in order of key: the key itself if no key has several texts, else numbers given to (key, text), rows that repeat sharing one."""
+    texts = d.select("key", F.xxhash64("text").alias("t"), F.xxhash64(F.lit(1), "text").alias("u"))
+    several = texts.groupBy("key").agg((F.max(F.struct("t", "u")) != F.min(F.struct("t", "u"))).alias("several"))
+    if several.where("several").isEmpty():
+        return d.withColumn("doc", F.col("key"))
+    numbers = written(texts.distinct().orderBy("key", "t", "u").select("*", F.monotonically_increasing_id().alias("doc")), place)
+    return d.withColumns({"t": F.xxhash64("text"), "u": F.xxhash64(F.lit(1), "text")}).join(numbers, ["key", "t", "u"]).select("key", "text", "doc")
 
 
 def without_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """(key, n_bytes, n_removed, n_spans, kept): each text without the bytes that a string of LENGTH bytes covers which also starts earlier (at a smaller key, or before in the same text); kept is what remains, as UTF-8 bytes.
 
-    Strings are judged on the texts as given, and never cross them. Null texts are empty. Keys are unique; rows of equal keys are taken for one text. Rows with a null key stay as they are and are no source of repeats. An empty table gives an empty one. Other columns are not read.
+    Strings are judged on the texts as given, and never cross them. Null texts are empty. Rows equal in key and text are one document, each with its whole result; rows of one key with different texts are documents in the order of hashes of their texts. Rows with a null key stay as they are and are no source of repeats. Long texts are read STRETCH bytes at a time. An empty table gives an empty one. Other columns are not read.
     """
     spark: SparkSession = docs.sparkSession
     base = shared_dir(spark)
-    d = docs.select(F.col(key).cast("long").alias("doc"), F.coalesce(F.col(text).cast("string"), F.lit("")).alias("text"))
-    found = d.where("doc IS NOT NULL AND octet_length(text) >= %d" % LENGTH).mapInArrow(_found, ROW)
-    shared = written(found.repartition("h").mapInArrow(_shared, ROW), f"{base}/shared")
+    d = docs.select(F.col(key).cast("long").alias("key"), F.coalesce(F.col(text).cast("string"), F.lit("")).alias("text"))
+    keyed = numbered(d.where("key IS NOT NULL"), f"{base}/numbers")
+    found = keyed.where("octet_length(text) >= %d" % LENGTH).select("doc", "text").mapInArrow(_found, ROW)
+    shared = written(found.repartition("h").sortWithinPartitions("h", "c", "doc", "at").mapInArrow(_shared, ROW), f"{base}/shared")
     open_ = shared.where("span >= 0")
     crowds = written(open_.groupBy("h").agg(F.count("*").alias("n")).where(F.col("n") > CROWD).select("h", F.lit(True).alias("crowd")), f"{base}/crowds")
     items = joined(open_, crowds, ["h"], crowds.count(), "left").groupBy("doc").agg(F.collect_list(F.struct("h", "at", "span", F.coalesce("crowd", F.lit(False)).alias("crowd"))).alias("items"))
-    contexts = d.join(items, "doc").mapInArrow(_contexts, "h long, doc long, lo long, data binary")
-    matched = written(contexts.repartition("h").mapInArrow(_matched, ROW), f"{base}/matched")
+    contexts = keyed.select("doc", "text").join(items, "doc").mapInArrow(_contexts, "h long, doc long, lo long, data binary")
+    matched = written(contexts.repartition("h").sortWithinPartitions("h", "doc", "lo").mapInArrow(_matched, ROW), f"{base}/matched")
     starts = shared.where("span < 0").unionByName(matched).select("doc", F.col("at").alias("lo"), F.col("c").alias("hi"))
     spans = starts.groupBy("doc").agg(F.collect_list(F.struct("lo", "hi")).alias("spans"))
-    cut = d.join(spans, "doc", "left").mapInArrow(_cut, "doc long, n_bytes long, n_removed long, n_spans long, kept binary")
-    return cut.withColumnRenamed("doc", key)
+    none = d.where("key IS NULL").select("key", "text", F.lit(None).cast("array<struct<lo:bigint,hi:bigint>>").alias("spans"))
+    cut = keyed.join(spans, "doc", "left").select("key", "text", "spans").union(none).mapInArrow(_cut, "key long, n_bytes long, n_removed long, n_spans long, kept binary")
+    return cut.withColumnRenamed("key", key)
 
 
 def op7(spark: SparkSession, sf_dir: str) -> DataFrame:

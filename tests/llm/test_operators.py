@@ -118,6 +118,20 @@ def test_components_of_a_long_path(spark):
     assert components.components(path.where("false")).count() == 0
 
 
+def test_long_patterned_words_differ(spark):
+    """Byte strings on which sums of powers modulo 2^64 cancel, whatever the odd base."""
+    rows = []
+    for n in (10, 11, 12):
+        one = "".join("ab"[bin(i).count("1") & 1] for i in range(1 << n))
+        rows += [(len(rows), one), (len(rows) + 1, one.translate(str.maketrans("ab", "ba")))]
+    h, _ = textscan.word_hashes(pa.array([t for _, t in rows]))
+    assert len(set(h.tolist())) == len(rows)
+    assert len(set(textscan.word_hashes(pa.array(["ab" * n for n in range(1, 200)]))[0].tolist())) == 199
+    if spark is not None:
+        got = minhash.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), 3, 85).collect()
+        assert all(r.kept and r.component_id == r.doc_id for r in got)
+
+
 def test_word_hashes_are_those_of_words(texts):
     h, first = textscan.word_hashes(pa.array(texts))
     assert np.diff(first).tolist() == [len(words(t)) for t in texts]
@@ -343,6 +357,43 @@ def test_repeats(spark, monkeypatch, crowd):
     assert sorted(r.n_removed for r in repeats.without_repeats(null).collect()) == [0, 0, len(a.encode())]
 
 
+def test_longest_previous_factors():
+    rng = random.Random(10)
+    for n, letters in ((130, "a"), (400, "ab"), (600, "abcd"), (101, "xyz"), (700, "aaab")):
+        raw = np.frombuffer("".join(rng.choices(letters, k=n)).encode(), np.uint8)
+        raw = np.concatenate([raw, raw[: n // 2]])
+        at = np.arange(len(raw) - repeats.LENGTH + 1)
+        b = raw.tobytes()
+        head = [b[i : i + repeats.LENGTH] for i in at]
+        shared = lambda x, y: next((i for i, (p, q) in enumerate(zip(x, y, strict=True)) if p != q), repeats.LENGTH)
+        order, common = repeats.suffix_order(raw, at)
+        assert [head[i] for i in order] == sorted(head)
+        assert common.tolist() == [0, *(shared(head[i], head[j]) for i, j in zip(order, order[1:], strict=False))]
+        want = [max((shared(head[i], head[j]) for j in range(i)), default=0) for i in at]
+        assert repeats.previous_factors(order, common, at).tolist() == want
+        assert repeats.earlier(raw, at).tolist() == [w >= repeats.LENGTH for w in want]
+
+
+def test_repeats_in_rows_that_repeat(spark):
+    rng = random.Random(11)
+    a, b = ("".join(rng.choices("abcdefgh", k=300)) for _ in "ab")
+    result = lambda rows: sorted((r.doc_id, r.n_bytes, r.n_removed) for r in repeats.without_repeats(spark.createDataFrame(rows, "doc_id long, text string")).collect())
+    assert result([(1, a), (1, a)]) == [(1, 300, 0), (1, 300, 0)]
+    assert result([(1, a), (1, a), (2, a + "Q"), (2, a + "Q")]) == [(1, 300, 0), (1, 300, 0), (2, 301, 300), (2, 301, 300)]
+    got = result([(1, a + b), (1, a), (1, b), (0, "x" * 50)])  # texts of one key come one after the other: just one keeps each half
+    assert sum(n - removed for _, n, removed in got) == 650
+
+
+def test_a_passage_in_many_surroundings(spark, monkeypatch):
+    monkeypatch.setattr(repeats, "CROWD", 50)
+    monkeypatch.setattr(repeats, "SORTED", 3000)
+    rng = random.Random(12)
+    common = "".join(rng.choices("abcdefgh", k=110))
+    rows = [(i, "".join(rng.choices("ijklmnop", k=90)) + common + "".join(rng.choices("ijklmnop", k=90))) for i in range(1500)]
+    got = {r.doc_id: (r.n_bytes, r.n_removed, r.n_spans, bytes(r.kept)) for r in repeats.without_repeats(spark.createDataFrame(rows, "doc_id long, text string").repartition(6)).collect()}
+    assert got == brute_repeats(rows)
+
+
 def test_texts_longer_than_a_stretch(spark, monkeypatch):
     monkeypatch.setattr(repeats, "STRETCH", 1024)
     rng = random.Random(9)
