@@ -60,5 +60,17 @@ def joined(left: DataFrame, right: DataFrame, on: list[str], rows: int | None, h
     return left.join(F.broadcast(right) if rows is not None and rows <= BROADCAST_ROWS else right, on, how)
 
 
+def numbered(docs: DataFrame, key: str, text: str, place: str) -> DataFrame:
+    """docs with __doc, a number in order of key: the key itself as long as no key comes with several texts, else numbers given to (key, text), which rows that repeat share; null for null keys."""
+    own = F.col(key).cast("long")
+    whole = F.coalesce(F.col(text).cast("string"), F.lit(""))
+    texts = docs.select(own.alias("__k"), F.xxhash64(whole).alias("__t"), F.xxhash64(F.lit(1), whole).alias("__u")).where("__k IS NOT NULL")
+    several = texts.groupBy("__k").agg((F.max(F.struct("__t", "__u")) != F.min(F.struct("__t", "__u"))).alias("several"))
+    if several.where("several").isEmpty():
+        return docs.withColumn("__doc", own)
+    numbers = written(texts.distinct().orderBy("__k", "__t", "__u").select("*", F.monotonically_increasing_id().alias("__doc")), place)
+    return docs.withColumns({"__k": own, "__t": F.xxhash64(whole), "__u": F.xxhash64(F.lit(1), whole)}).join(numbers, ["__k", "__t", "__u"], "left").drop("__k", "__t", "__u")
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")

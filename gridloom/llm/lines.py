@@ -1,8 +1,10 @@
 """Line dedup by winnowing over line hashes.
 
-The unit is the line that is not blank, by the hash of its words (lower-cased, single spaces). Fingerprints of a document are hashes of GRAM consecutive lines; of every WINDOW consecutive ones the least is selected, the rightmost if several are, so that any run of GRAM + WINDOW - 1 lines that two places share has a fingerprint selected in both. GRAM consecutive lines of LONG words or more in all are always selected, and a line of LONG words or more is a fingerprint by itself, so that a passage of LONG words on so few lines has one too. Each selected fingerprint is joined with its first place in the corpus (smallest document, then line); from there, the match is extended both ways along the two documents for as long as lines agree, and the run is deleted in the later place.
+The unit is the line that is not blank, by the words on it (lower-cased, single spaces). What is deleted is exactly this: every run of consecutive lines that also starts earlier in the corpus (smaller document, then line) and has RUN lines or LONG words, whichever it reaches first.
 
-First places come from a grouping with partial aggregation, so a line that millions of documents share costs each of them one row. All of it is column expressions, joins and groupings.
+Fingerprints of a document are hashes of GRAM consecutive lines; of every WINDOW consecutive ones the least is selected, the rightmost if several are, so that any RUN = GRAM + WINDOW - 1 lines that two places share have a fingerprint selected in both. Of fingerprints that occur more than once, the RUN lines around them go on by the hashes of all of them, as do single lines and pairs of lines with LONG words or more. Each of these is joined with its own first place in the corpus, so that a longer match with a later place isn't missed for a shorter one with the first; from there the match is extended both ways along the two documents for as long as lines agree in two 64-bit hashes, and the run is deleted in the later place.
+
+First places come from groupings with partial aggregation, so a line that millions of documents share costs each task one row. All of it is column expressions, joins and groupings.
 """
 
 from __future__ import annotations
@@ -10,75 +12,98 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import WORD, delete, shared_dir, table, written
+from .common import WORD, delete, numbered, shared_dir, table, written
 
 GRAM, WINDOW, LONG = 2, 2, 50
+RUN = GRAM + WINDOW - 1
 
 
-def lined(docs: DataFrame, key: str, text: str) -> DataFrame:
-    """(doc, at: numbers from 0 of the lines not blank, hashes and words of these). Lambdas use nothing but their own line, so a text is gone through once."""
-    d = docs.select(F.col(key).cast("long").alias("doc"), F.split(F.coalesce(F.col(text).cast("string"), F.lit("")), "\n", -1).alias("lines"))
+def lined(docs: DataFrame, text: str) -> DataFrame:
+    """(doc, at: numbers from 0 of the lines not blank, two hashes and the words of each). Lambdas use nothing but their own line, so a text is gone through once."""
+    d = docs.select(F.col("__doc").alias("doc"), F.split(F.coalesce(F.col(text).cast("string"), F.lit("")), "\n", -1).alias("lines"))
     words = F.transform("lines", lambda x: F.regexp_extract_all(F.lower(x), F.lit(WORD), F.lit(0)))
-    entries = F.filter(F.transform(words, lambda w, i: F.struct(i.alias("at"), F.xxhash64(w).alias("h"), F.size(w).alias("n"))), lambda e: e["n"] > 0)
-    return d.select("doc", entries.alias("e")).select("doc", F.col("e.at").alias("at"), F.col("e.h").alias("hashes"), F.col("e.n").alias("words"))
+    entries = F.filter(F.transform(words, lambda w, i: F.struct(i.alias("at"), F.xxhash64(w).alias("h"), F.xxhash64(F.lit(1), w).alias("c"), F.size(w).alias("n"))), lambda e: e["n"] > 0)
+    return d.select("doc", entries.alias("e")).select("doc", F.col("e.at").alias("at"), F.col("e.h").alias("hashes"), F.col("e.c").alias("checks"), F.col("e.n").alias("words"))
 
 
 def grams() -> Column:
     """Hashes of GRAM consecutive lines of a document."""
     n = F.size("hashes")
-    return F.when(n >= GRAM, F.transform(F.sequence(F.lit(0), n - GRAM), lambda i: F.xxhash64(*(F.get("hashes", i + j) for j in range(GRAM)))))
+    return F.when(n >= GRAM, F.transform(F.sequence(F.lit(0), n - GRAM), lambda i: F.xxhash64(*(F.get("hashes", i + j) for j in range(GRAM))))).otherwise(F.array().cast("array<bigint>"))
+
+
+def run_of(at: Column, n: int) -> Column:
+    """n lines from at on, by two hashes of all of them; n is part of the second."""
+    return F.struct(F.xxhash64(*(F.get("hashes", at + j) for j in range(n))).alias("a"), F.xxhash64(F.lit(n), *(F.get("checks", at + j) for j in range(n))).alias("b"), at.cast("int").alias("at"), F.lit(n).alias("n"))
+
+
+RUNS = "array<struct<a:bigint,b:bigint,at:int,n:int>>"
 
 
 def selected(d: DataFrame) -> DataFrame:
-    """(doc, h, at): window minima of GRAM-line hashes, those of LONG words or more, and long lines."""
+    """(doc, h, runs): grams that are the rightmost least of some window, each with the runs of RUN lines that these windows span."""
     d = d.withColumn("grams", grams())
-    # a gram is selected if it is the rightmost least of some window that holds it
-    chosen = lambda i: F.exists(
-        F.array(*(i - s for s in range(WINDOW))),
-        lambda start: (start >= 0) & (start + WINDOW <= F.size("grams")) & F.forall(F.sequence(F.lit(0), F.lit(WINDOW - 1)), lambda j: F.when(start + j > i, F.get("grams", start + j) > F.get("grams", i)).otherwise(F.get("grams", start + j) >= F.get("grams", i))),
-    )
-    enough = lambda i: sum((F.get("words", i + j) for j in range(1, GRAM)), F.get("words", i)) >= LONG
-    by_gram = F.when(F.size("grams") > 0, F.filter(F.transform("grams", lambda g, i: F.struct(g.alias("h"), i.alias("at"), ((F.size("grams") < WINDOW) | enough(i) | chosen(i)).alias("ok"))), lambda x: x["ok"])).otherwise(F.array())
-    by_line = F.filter(F.transform("hashes", lambda g, i: F.struct(F.xxhash64(g, F.lit("line")).alias("h"), i.alias("at"), (F.get("words", i) >= LONG).alias("ok"))), lambda x: x["ok"])
-    kind = "array<struct<h:bigint,at:int,ok:boolean>>"
-    return d.select("doc", F.explode(F.concat(by_gram.cast(kind), by_line.cast(kind))).alias("x")).select("doc", "x.h", "x.at")
-
-
-def repeated_lines(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """(doc, gone: sorted numbers from 0 of lines to delete) for the documents that have any; keys are unique, rows with a null key take no part."""
-    spark: SparkSession = docs.sparkSession
-    base = shared_dir(spark)
-    d = written(lined(docs.where(F.col(key).isNotNull()), key, text).select("doc", "at", "hashes", "words").where("size(hashes) > 0"), f"{base}/lines")
+    least = lambda start, i: F.forall(F.sequence(F.lit(0), F.lit(WINDOW - 1)), lambda j: F.when(start + j > i, F.get("grams", start + j) > F.get("grams", i)).otherwise(F.get("grams", start + j) >= F.get("grams", i)))
+    starts = lambda i: F.filter(F.array(*(i - s for s in range(WINDOW))), lambda start: (start >= 0) & (start + WINDOW <= F.size("grams")) & least(start, i))
+    found = F.filter(F.transform("grams", lambda g, i: F.struct(g.alias("h"), starts(i).alias("starts"))), lambda x: F.size(x["starts"]) > 0)
+    runs = F.transform(found, lambda x: F.struct(x["h"].alias("h"), F.transform(x["starts"], lambda s: run_of(s, RUN)).cast(RUNS).alias("runs")))
+    return d.select("doc", F.explode(runs).alias("x")).select("doc", "x.h", "x.runs")
+
+
+def long_runs(d: DataFrame) -> DataFrame:
+    """(doc, a, b, at, n): lines of LONG words or more, and fewer than RUN consecutive lines with as many in all."""
+    def each(n: int) -> Column:
+        enough = lambda i: sum((F.get("words", i + j) for j in range(1, n)), F.get("words", i)) >= LONG
+        starts = F.when(F.size("hashes") >= n, F.sequence(F.lit(0), F.size("hashes") - n)).otherwise(F.array().cast("array<int>"))
+        return F.transform(F.filter(starts, enough), lambda i: run_of(i, n)).cast(RUNS)
+
+    return d.select("doc", F.inline(F.concat(*(each(n) for n in range(1, RUN)))))
+
+
+def repeated_runs(docs: DataFrame, text: str, base: str) -> DataFrame:
+    """(doc, source, shift, lo, hi): runs of lines (numbers among those not blank) of docs (__doc, text) that also stand shift lines before in source, extended both ways; at: numbers of the lines in the text."""
+    d = written(lined(docs.where("__doc IS NOT NULL"), text).where("size(hashes) > 0").dropDuplicates(["doc"]), f"{base}/lines")
     prints = written(selected(d), f"{base}/prints")
-    first = prints.groupBy("h").agg(F.min(F.struct("doc", "at")).alias("f"), F.count("*").alias("n")).where("n > 1").select("h", F.col("f.doc").alias("source"), F.col("f.at").alias("from"))
-    later = prints.join(first, "h").where("doc != source OR at != from")
+    again = prints.groupBy("h").agg(F.count("*").alias("c")).where("c > 1").select("h")
+    three = prints.join(again, "h").select("doc", F.inline("runs"))
+    entries = written(three.unionByName(long_runs(d)), f"{base}/entries")
+    first = entries.groupBy("a", "b").agg(F.min(F.struct("doc", "at")).alias("f"), F.count("*").alias("c")).where("c > 1").select("a", "b", F.col("f.doc").alias("source"), F.col("f.at").alias("from"))
+    later = entries.join(first, ["a", "b"]).where("doc != source OR at != from")
     # matches along one diagonal of two documents are extended together
-    diagonals = later.groupBy("doc", "source", (F.col("at") - F.col("from")).alias("shift")).agg(F.collect_set("at").alias("seeds"))
-    mine = d.select("doc", "hashes", "at")
-    other = d.select(F.col("doc").alias("source"), F.col("hashes").alias("theirs"))
-    pairs = written(diagonals.join(other, "source").join(mine, "doc"), f"{base}/pairs")
-    low, high = F.greatest(F.lit(0), F.col("shift")), F.least(F.size("hashes"), F.size("theirs") + F.col("shift")) - 1
-    same = lambda i: F.get("hashes", i) == F.get("theirs", i - F.col("shift"))
+    diagonals = later.groupBy("doc", "source", (F.col("at") - F.col("from")).alias("shift")).agg(F.collect_set(F.struct("at", "n")).alias("seeds"))
+    other = d.select(F.col("doc").alias("source"), F.col("hashes").alias("their_hashes"), F.col("checks").alias("their_checks"))
+    pairs = written(diagonals.join(other, "source").join(d.select("doc", "hashes", "checks", "at"), "doc"), f"{base}/pairs")
+    low, high = F.greatest(F.lit(0), F.col("shift")), F.least(F.size("hashes"), F.size("their_hashes") + F.col("shift")) - 1
+    same = lambda i: (F.get("hashes", i) == F.get("their_hashes", i - F.col("shift"))) & (F.get("checks", i) == F.get("their_checks", i - F.col("shift")))
     breaks = F.concat(F.array(low - 1), F.filter(F.sequence(low, high), lambda i: ~same(i)), F.array(high + 1))
     runs = pairs.withColumn("breaks", breaks)
-    # runs of equal lines between two breaks, those with a seed
-    spans = runs.select("doc", "at", "seeds", F.explode(F.transform(F.sequence(F.lit(0), F.size("breaks") - 2), lambda k: F.struct((F.get("breaks", k) + 1).alias("lo"), (F.get("breaks", k + 1) - 1).alias("hi")))).alias("s"))
-    spans = spans.where("s.lo <= s.hi").where(F.exists("seeds", lambda x: (x >= F.col("s.lo")) & (x <= F.col("s.hi"))))
-    lines = spans.select("doc", F.explode(F.slice("at", F.col("s.lo") + 1, F.col("s.hi") - F.col("s.lo") + 1)).alias("line")).distinct()
+    # runs of equal lines between two breaks, those that hold a seed
+    spans = runs.select("doc", "source", "shift", "at", "seeds", F.explode(F.transform(F.sequence(F.lit(0), F.size("breaks") - 2), lambda k: F.struct((F.get("breaks", k) + 1).alias("lo"), (F.get("breaks", k + 1) - 1).alias("hi")))).alias("s"))
+    spans = spans.where("s.lo <= s.hi").where(F.exists("seeds", lambda x: (x["at"] >= F.col("s.lo")) & (x["at"] + x["n"] - 1 <= F.col("s.hi"))))
+    return spans.select("doc", "source", "shift", "s.lo", "s.hi", "at")
+
+
+def repeated_lines(docs: DataFrame, text: str = "text") -> DataFrame:
+    """(doc, gone: sorted numbers from 0 of lines to delete) for the documents of docs (__doc, text) that have any."""
+    base = shared_dir(docs.sparkSession)
+    spans = repeated_runs(docs, text, base)
+    lines = spans.select("doc", F.explode(F.slice("at", F.col("lo") + 1, F.col("hi") - F.col("lo") + 1)).alias("line")).distinct()
     out = written(lines.groupBy("doc").agg(F.array_sort(F.collect_list("line")).alias("gone")), f"{base}/gone")
-    delete(spark, f"{base}/lines", f"{base}/prints", f"{base}/pairs")
+    delete(docs.sparkSession, *(f"{base}/{x}" for x in ("lines", "prints", "entries", "pairs")))
     return out
 
 
 def without_repeated_lines(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """docs with text rid of repeated runs of lines, and n_lines, n_removed.
 
-    Null texts stay null and count as one blank line; blank lines are never matched or deleted; an empty table gives an empty one. Columns named n_lines or n_removed are replaced.
+    Null texts stay null and count as one blank line; blank lines are never matched or deleted. Rows equal in key and text are one document, each with its whole result; rows of one key with different texts are documents in the order of hashes of their texts. Rows with a null key stay as they are and are no source of repeats. A document's lines are compared in one row, as hashes, however long its text. An empty table gives an empty one. Columns named n_lines or n_removed are replaced.
     """
-    gone = repeated_lines(docs, key, text).withColumnRenamed("doc", "__key")
     names = [c for c in docs.columns if c not in ("n_lines", "n_removed")]
+    d = numbered(docs.select(*names), key, text, f"{shared_dir(docs.sparkSession)}/numbers")
+    gone = repeated_lines(d.select("__doc", text), text).withColumnRenamed("doc", "__doc")
     # at every size texts meet what is to be deleted by a shuffle: the table of deleted lines grows with the corpus
-    d = docs.select(*names).join(gone.hint("merge"), F.col(key).cast("long") == F.col("__key"), "left")
+    none = d.where("__doc IS NULL").withColumn("gone", F.lit(None).cast("array<int>"))
+    d = d.where("__doc IS NOT NULL").join(gone.hint("merge"), "__doc", "left").unionByName(none)
     d = d.withColumn("__lines", F.split(F.coalesce(F.col(text).cast("string"), F.lit("")), "\n", -1)).withColumn("__map", F.map_from_arrays(F.coalesce("gone", F.array().cast("array<int>")), F.coalesce("gone", F.array().cast("array<int>"))))
     rest = F.filter("__lines", lambda x, i: ~F.map_contains_key("__map", i))
     kept = F.when(F.col("gone").isNull(), F.col(text)).otherwise(F.array_join(rest, "\n"))
@@ -89,3 +114,18 @@ def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents without repeated runs of lines."""
     found = without_repeated_lines(table(spark, sf_dir, "documents").select("doc_id", "text"))
     return found.select("doc_id", "n_lines", "n_removed", F.sha2(F.encode(F.coalesce("text", F.lit("")), "UTF-8"), 256).alias("kept_sha256"))
+
+
+ORACLE = r"""
+WITH d AS (SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS l FROM documents),
+e AS (SELECT doc_id, unnest(l) AS t, unnest(range(len(l))) AS line FROM d),
+n AS (SELECT doc_id, line, regexp_extract_all(lower(t), '[^\x20\x09-\x0D]+') AS w FROM e),
+s AS (SELECT doc_id, line, array_to_string(w, ' ') AS t, len(w) AS n, row_number() OVER (PARTITION BY doc_id ORDER BY line) AS at FROM n WHERE len(w) > 0),
+r AS (SELECT a.doc_id, a.at, 1 AS len, a.t AS t FROM s AS a WHERE a.n >= 50
+  UNION ALL SELECT a.doc_id, a.at, 2, a.t || chr(10) || b.t FROM s AS a JOIN s AS b ON b.doc_id = a.doc_id AND b.at = a.at + 1 WHERE a.n + b.n >= 50
+  UNION ALL SELECT a.doc_id, a.at, 3, a.t || chr(10) || b.t || chr(10) || c.t FROM s AS a JOIN s AS b ON b.doc_id = a.doc_id AND b.at = a.at + 1 JOIN s AS c ON c.doc_id = a.doc_id AND c.at = a.at + 2),
+o AS (SELECT doc_id, at, len, row_number() OVER (PARTITION BY len, t ORDER BY doc_id, at) AS nth FROM r),
+g AS (SELECT DISTINCT s.doc_id, s.line FROM o JOIN s ON s.doc_id = o.doc_id AND s.at BETWEEN o.at AND o.at + o.len - 1 WHERE o.nth > 1),
+k AS (SELECT e.doc_id, count(*) AS n_lines, count(g.line) AS n_removed, coalesce(string_agg(e.t, chr(10) ORDER BY e.line) FILTER (WHERE g.line IS NULL), '') AS kept FROM e LEFT JOIN g ON g.doc_id = e.doc_id AND g.line = e.line GROUP BY e.doc_id)
+SELECT doc_id, CAST(n_lines AS INTEGER) AS n_lines, CAST(n_removed AS INTEGER) AS n_removed, sha256(kept) AS kept_sha256 FROM k
+"""

@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import joined, shared_dir, table, written
+from .common import joined, numbered, shared_dir, table, written
 from .textscan import BASE, U, block_hashes, bytes_of, mix, slices
 
 LENGTH, GRAM = 100, 32
@@ -359,16 +359,6 @@ def _cut(batches):
         yield pa.RecordBatch.from_arrays([pa.array(key, pa.int64()), pa.array(n, pa.int64()), pa.array(removed, pa.int64()), pa.array(runs, pa.int64()), pa.array(kept, pa.binary())], ["key", "n_bytes", "n_removed", "n_spans", "kept"])
 
 
-def numbered(d: DataFrame, place: str) -> DataFrame:
-    """d (key, text) with doc, a number in order of key: the key itself if no key has several texts, else numbers given to (key, text), rows that repeat sharing one."""
-    texts = d.select("key", F.xxhash64("text").alias("t"), F.xxhash64(F.lit(1), "text").alias("u"))
-    several = texts.groupBy("key").agg((F.max(F.struct("t", "u")) != F.min(F.struct("t", "u"))).alias("several"))
-    if several.where("several").isEmpty():
-        return d.withColumn("doc", F.col("key"))
-    numbers = written(texts.distinct().orderBy("key", "t", "u").select("*", F.monotonically_increasing_id().alias("doc")), place)
-    return d.withColumns({"t": F.xxhash64("text"), "u": F.xxhash64(F.lit(1), "text")}).join(numbers, ["key", "t", "u"]).select("key", "text", "doc")
-
-
 def without_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """(key, n_bytes, n_removed, n_spans, kept): each text without the bytes that a string of LENGTH bytes covers which also starts earlier (at a smaller key, or before in the same text); kept is what remains, as UTF-8 bytes.
 
@@ -377,7 +367,7 @@ def without_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text") ->
     spark: SparkSession = docs.sparkSession
     base = shared_dir(spark)
     d = docs.select(F.col(key).cast("long").alias("key"), F.coalesce(F.col(text).cast("string"), F.lit("")).alias("text"))
-    keyed = numbered(d.where("key IS NOT NULL"), f"{base}/numbers")
+    keyed = numbered(d.where("key IS NOT NULL"), "key", "text", f"{base}/numbers").withColumnRenamed("__doc", "doc")
     found = keyed.where("octet_length(text) >= %d" % LENGTH).select("doc", "text").mapInArrow(_found, ROW)
     shared = written(found.repartition("h").sortWithinPartitions("h", "c", "doc", "at").mapInArrow(_shared, ROW), f"{base}/shared")
     open_ = shared.where("span >= 0")
