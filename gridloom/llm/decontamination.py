@@ -1,17 +1,17 @@
 """Benchmark decontamination by size-partitioned MinHash containment search.
 
-Items are partitioned by how many shingles they have. The sketch of an item is its bottom-k MinHash: the k shingles with the least hash values, where k comes from its partition's largest size u: of the u shingles of an item, a document that contains a share t of them lacks (1 - t) u at most, so that a sketch of floor((1 - t) u) + 1 shingles has one in every such document, however long the document is. A document's shingles are looked up among the sketches; what they hit are candidates, which are then confirmed on the exact shingles of both sides. All of it is column expressions, joins and groupings.
+The sketch of an item of n shingles is its bottom-k MinHash, the k shingles with the least hash values, with k = floor((1 - t) n) + 1: a document that holds a share t of them lacks floor((1 - t) n) at most, so that it holds one of the sketch, however long it is. Items are partitioned by size. A partition has the largest hash that any of its sketches holds and the least number of shingles a document needs for any of its items; a document's sketch for the partition is made of its shingles up to that hash, and documents that are too short for it make none. Sketches meet in a join; what they hit are candidates, which are then confirmed on the exact shingles of both sides, as strings. All of it is column expressions, joins and groupings.
 """
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import WORD, delete, joined, shared_dir, table, written
 
-#: Smallest size of a partition's items; sizes double from one partition to the next.
-SMALLEST = 8
 
 
 def worded(df: DataFrame, text: str = "text") -> DataFrame:
@@ -19,18 +19,24 @@ def worded(df: DataFrame, text: str = "text") -> DataFrame:
     return df.withColumn("w", F.regexp_extract_all(F.translate(F.coalesce(F.col(text).cast("string"), F.lit("")), "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"), F.lit(WORD), F.lit(0)))
 
 
-def shingles(k: int, made=lambda s: s) -> Column:
-    """The k-word shingles of w as strings, or what made turns them into; one of all words where there are fewer; none without words."""
+def shingles(k: int) -> Column:
+    """The k-word shingles of w as strings; one of all words where there are fewer; none without words."""
     n = F.greatest(F.size("w") - k + 1, F.least(F.size("w"), F.lit(1)))
-    return F.when(n > 0, F.transform(F.sequence(F.lit(1), n), lambda i: made(F.array_join(F.slice("w", i, k), " "))))
+    return F.when(n > 0, F.transform(F.sequence(F.lit(1), n), lambda i: F.array_join(F.slice("w", i, k), " ")))
+
+
+def hashed(df: DataFrame, k: int) -> DataFrame:
+    """df (with w) with hashes, those of the k-word shingles of w in order; each word is hashed once."""
+    n = F.greatest(F.size("words") - k + 1, F.least(F.size("words"), F.lit(1)))
+    made = F.when(n > 0, F.transform(F.sequence(F.lit(1), n), lambda i: F.xxhash64(F.slice("words", i, k)))).otherwise(F.array().cast("array<bigint>"))
+    return df.withColumn("words", F.transform("w", lambda x: F.xxhash64(x))).withColumn("hashes", made)
 
 
 def sketched(items: DataFrame, percent: int) -> DataFrame:
-    """items (item, shingle, n: how many it has) with in_sketch."""
-    u = F.greatest(F.lit(SMALLEST), F.pow(2, F.ceil(F.log2(F.col("n")))).cast("long"))
-    k = F.expr(f"({100 - percent} * __u) DIV 100 + 1")
+    """items (item, shingle, h, n: how many it has) with in_sketch and part, the partition: sizes double from one to the next."""
+    k = F.expr(f"({100 - percent} * n) DIV 100 + 1")
     rank = F.expr("row_number() OVER (PARTITION BY item ORDER BY h, shingle)")
-    return items.withColumn("__u", u).withColumn("in_sketch", rank <= k).drop("__u")
+    return items.withColumns({"in_sketch": rank <= k, "part": F.ceil(F.log2("n")).cast("int")})
 
 
 def contained_items(docs: DataFrame, benchmark: DataFrame, k: int = 5, percent: int = 80, key: str = "doc_id", text: str = "text", item: str = "item_id", item_text: str = "text") -> DataFrame:
@@ -40,15 +46,16 @@ def contained_items(docs: DataFrame, benchmark: DataFrame, k: int = 5, percent:
     """
     spark: SparkSession = docs.sparkSession
     base = shared_dir(spark)
-    exploded = worded(benchmark.select(F.col(item).alias("item"), F.col(item_text).alias("text"))).select("item", F.explode(shingles(k)).alias("shingle")).distinct()
-    sized = exploded.withColumn("n", F.expr("count(*) OVER (PARTITION BY item)")).withColumn("h", F.xxhash64("shingle"))
-    items = written(sketched(sized, percent), f"{base}/items")
+    listed = hashed(worded(benchmark.select(F.col(item).alias("item"), F.col(item_text).alias("text"))), k).select("item", F.inline(F.arrays_zip(shingles(k).alias("shingle"), F.col("hashes").alias("h")))).distinct()
+    items = written(sketched(listed.withColumn("n", F.expr("count(*) OVER (PARTITION BY item)")), percent), f"{base}/items")
     n_rows = items.count()
     d = docs.select(F.col(key).alias("key"), F.col(text).cast("string").alias("text"))
-    # 1: which documents hit which sketches
-    hashed = worded(d).select("key", F.explode(shingles(k, F.xxhash64)).alias("h"))
-    sketch = items.where("in_sketch").select("h", "item")
-    hits = written(joined(hashed, sketch, ["h"], n_rows).select("key", "item").distinct(), f"{base}/hits")
+    # 1: which documents hit which sketches; partitions are as few as doublings of a size
+    parts = items.where("in_sketch").groupBy("part").agg(F.max("h").alias("most"), F.min(F.expr(f"({percent} * n + 99) DIV 100")).alias("least")).collect()
+    sketch = items.where("in_sketch").select("h", "item", "part")
+    enough = lambda h: reduce(lambda x, y: x | y, [(h <= p["most"]) & (F.size("hashes") >= p["least"]) for p in parts], F.lit(False))
+    probes = hashed(worded(d), k).select("key", F.explode(F.array_distinct(F.filter("hashes", enough))).alias("h"))
+    hits = written(joined(probes, sketch, ["h"], n_rows).select("key", "item").distinct(), f"{base}/hits")
     # 2: candidates by all shingles, as strings
     name = F.coalesce(F.col("key").cast("string"), F.lit("null"))
     near = hits.select(name.alias("name")).distinct()
