@@ -25,17 +25,19 @@ from .components import components
 from .textscan import BASE, U, mix
 
 SAMPLE, STEPS, SEED = 128, 3, 8
-#: Rows of the table of random bits, after which they repeat. Characters that walk together, at least.
+#: Steps for which a table of random bits is made at a time. Characters that walk together, at least.
 PERIOD, CHARS = 1 << 13, 24 << 20
 #: For texts of less than so many characters, steps of a stretch that is a band, and walks. Stretches of a walk, at most; members of a block of a large bucket.
 WIDTHS, KEPT, BLOCK = ((14, 6, 16), (60, 8, 16), (400, 16, 16), (float("inf"), 16, 8)), 192, 512
-#: Random bits of walks, by seed.
-MOVES: dict[int, np.ndarray] = {}
+#: Bytes of texts that a task gets, on average at most.
+PART_BYTES = 128 << 20
 
 
-def moves(seed: int = SEED) -> np.ndarray:
-    """PERIOD x 256: whether the pointer moves on; never from 0, the end of a text."""
-    bits = (mix(np.arange(PERIOD * 256, dtype=U) + U(seed * BASE & (2**64 - 1))) & U(1)).astype(np.uint8).reshape(PERIOD, 256)
+@lru_cache(maxsize=24)
+def moves(seed: int, block: int) -> np.ndarray:
+    """For the PERIOD steps of a block, by character: whether the pointer moves on; never from 0, the end of a text."""
+    first = (seed << 40 | block) * BASE & (2**64 - 1)
+    bits = (mix(mix(np.arange(PERIOD * 256, dtype=U)) + U(first)) & U(1)).astype(np.uint8).reshape(PERIOD, 256)
     bits[:, 0] = 0
     return bits
 
@@ -70,7 +72,7 @@ class Positions:
         return np.sort(least)
 
 
-def walk(texts: list[str], positions: Positions, bits: np.ndarray) -> np.ndarray:
+def walk(texts: list[str], positions: Positions, seed: int = SEED) -> np.ndarray:
     """What each text (column) shows at each of positions.at (row), as bytes from 1 to 255; 0 once it has ended."""
     lengths = np.array([len(t) for t in texts], np.int64)
     order = np.argsort(-lengths, kind="stable")
@@ -87,6 +89,8 @@ def walk(texts: list[str], positions: Positions, bits: np.ndarray) -> np.ndarray
     row, here, stay = 0, np.empty(len(texts), np.uint8), np.empty(len(texts), np.uint8)
     due = next(wanted, -1)
     for j in range(STEPS * longest):
+        if j % PERIOD == 0:
+            bits = moves(seed, j // PERIOD)
         while active and steps[active - 1] <= j:
             active -= 1
         p, c, m = pointer[:active], here[:active], stay[:active]
@@ -120,7 +124,7 @@ def likeness(n: int, a: bytes, m: int, b: bytes, positions: Positions) -> float:
 
 class Fingerprints:
     def __init__(self, seed: int = SEED):
-        self.positions, self.bits, self.samples = Positions(seed), moves(seed), {}
+        self.positions, self.seed, self.samples = Positions(seed), seed, {}
 
     def sample(self, n: int) -> np.ndarray:
         if n not in self.samples:
@@ -130,7 +134,7 @@ class Fingerprints:
         return self.samples[n]
 
     def shown(self, texts: list[str]) -> list[bytes]:
-        grid = walk(texts, self.positions, self.bits)
+        grid = walk(texts, self.positions, self.seed)
         return [grid[self.sample(len(t)), i].tobytes() for i, t in enumerate(texts)]
 
 
@@ -216,9 +220,11 @@ def with_following(docs: DataFrame, parts: int) -> DataFrame:
 def fingerprints(docs: DataFrame, parts: int | None = None) -> DataFrame:
     """OUT's columns for each row of docs (doc_id, text) in order of doc_id: its fingerprint, that of its edited text, and likenesses.
 
-    Null texts are empty: their fingerprint is `0:`, which is like another empty one (1) and unlike all others (0). Rows with null doc_id come first; rows of equal doc_id follow each other by text. The only row of a table follows itself. An empty table gives an empty one. Other columns are not read.
+    Null texts are empty: their fingerprint is `0:`, which is like another empty one (1) and unlike all others (0). Rows with null doc_id come first; rows of equal doc_id follow each other by text. The only row of a table follows itself. Long texts walk to their end, 3 steps a character. An empty table gives an empty one. Other columns are not read.
     """
-    parts = parts or max(2, int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    if not parts:
+        size = docs.agg(F.sum(F.octet_length(F.col("text").cast("string")).cast("long"))).first()[0] or 0
+        parts = max(2, int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-size // PART_BYTES))
     return with_following(docs, parts).mapInPandas(_fingerprint, OUT)
 
 
@@ -274,10 +280,8 @@ def bands_of(texts: list[str], size: int, percent: int) -> list[np.ndarray]:
         steps, walks, starts = stretches(of, percent)
         at = np.array(starts)[:, None] + np.arange(steps)
         for seed in range(SEED, SEED + walks):
-            if seed not in MOVES:
-                MOVES[seed] = moves(seed)
             grid = np.zeros((at.size, len(texts)), np.uint8)
-            shown = walk(texts, Steps(at.ravel()), MOVES[seed])
+            shown = walk(texts, Steps(at.ravel()), seed)
             grid[: len(shown)] = shown
             grid = grid.reshape(len(starts), steps, len(texts))
             name = mix(np.array(starts, U) * U(BASE) + U(of << 8 | seed))[:, None] * np.ones((1, len(texts)), U)

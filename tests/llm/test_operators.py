@@ -2,8 +2,8 @@
 
 import hashlib
 import random
-import re
 from collections import Counter
+import re
 
 import numpy as np
 import pyarrow as pa
@@ -169,23 +169,57 @@ def test_line_runs(spark):
     assert lines.without_repeated_lines(d.where("false")).count() == 0
 
 
-def test_windows_that_occur_before_are_deleted(spark):
-    rng = random.Random(2)
-    pool = [f"line {i} of the pool" for i in range(12)]
-    texts = ["\n".join(rng.choices(pool, k=rng.randint(1, 12))) for _ in range(40)]
-    got = {r.doc_id: r.text.split("\n") if r.text else [] for r in lines.without_repeated_lines(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()}
-    seen, before = set(), Counter()
-    for i, t in enumerate(texts):
-        w = t.split("\n")
-        must = set()
-        for p in range(len(w) - 2):
-            if tuple(w[p : p + 3]) in seen:
-                must |= {p, p + 1, p + 2}
-            seen.add(tuple(w[p : p + 3]))
-        assert len(got[i]) <= len(w) - len(must)
-        deleted = Counter(w) - Counter(got[i])
-        assert all(before[x] or Counter(w)[x] > 1 for x in deleted)
-        before.update(w)
+def brute_lines(rows):
+    """Lines of rows (key, text), in order of key, that stand in a run which starts earlier too and has three lines or 50 words."""
+    seen, out = set(), {}
+    for k, t in rows:
+        whole = t.split("\n") if t else [""]
+        numbered = [(i, words(x.lower())) for i, x in enumerate(whole)]
+        numbered = [(i, w) for i, w in numbered if w]
+        gone, own = set(), []
+        for n in (1, 2, 3):
+            for p in range(len(numbered) - n + 1):
+                run = tuple(tuple(w) for _, w in numbered[p : p + n])
+                if n == 3 or sum(map(len, run)) >= 50:
+                    own.append((p, n, run))
+        for p, n, run in sorted(own):
+            if run in seen:
+                gone |= {i for i, _ in numbered[p : p + n]}
+            seen.add(run)
+        out[k] = "\n".join(x for i, x in enumerate(whole) if i not in gone)
+    return out
+
+
+@pytest.mark.parametrize("pool_size,seed", [(5, 1), (12, 2), (12, 3)])
+def test_runs_that_occur_before_are_deleted(spark, pool_size, seed):
+    rng = random.Random(seed)
+    pool = [f"line {i} of the pool" for i in range(pool_size)] + [" ".join(f"x{j}" for j in range(i, i + 26)) for i in (1, 2)] + [" ".join(f"y{j}" for j in range(55)), "", "  "]
+    rows = [(i, "\n".join(rng.choices(pool, k=rng.randint(1, 14)))) for i in range(60)]
+    rows += [(60, None), (61, ""), (62, "\n".join(f"a long text's line {i}" for i in range(3000))), (63, "\n".join(f"A long  text's line {i}" for i in range(1000, 2000)))]
+    d = spark.createDataFrame(rows, "doc_id long, text string").withColumn("doc", F.lit("clash")).withColumn("hashes", F.lit(1)).repartition(3)
+    found = lines.without_repeated_lines(d.union(d.where("doc_id IN (3, 7, 60, 63)"))).collect()
+    assert {(r.doc_id, r.text or "") for r in found} == set(brute_lines(rows).items()) and len(found) == len(rows) + 4
+    assert found[0].doc == "clash" and len(found[0]) == 6
+
+
+def test_a_longer_match_with_a_later_place(spark):
+    """Whatever line hashes say: a run of four is found although its middle stands in an earlier document."""
+    rng = random.Random(4)
+    word = lambda: "".join(rng.choices("abcdefgh", k=8))
+    rows = []
+    for i in range(40):
+        x, y, z, w = (word() for _ in range(4))
+        rows += [(i, f"{word()}\n{y}\n{z}\n{word()}"), (100 + i, f"{x}\n{y}\n{z}\n{w}"), (200 + i, f"{word()}\n{x}\n{y}\n{z}\n{w}\n{word()}")]
+    got = {r.doc_id: r.n_removed for r in lines.without_repeated_lines(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == {k: 4 if k >= 200 else 0 for k, _ in rows}
+
+
+def test_lines_of_keys_that_repeat(spark):
+    text = "\n".join(f"line {i}" for i in range(6))
+    rows = [(1, text), (1, text), (1, "other\n" + text), (2, "one\ntwo\nthree"), (None, text), (None, None)]
+    got = sorted((r.doc_id or 0, r.n_lines, r.n_removed) for r in lines.without_repeated_lines(spark.createDataFrame(rows, "doc_id long, text string")).collect())
+    # one of the two texts of key 1 keeps its lines, in all its rows
+    assert got in ([(0, 1, 0), (0, 6, 0), (1, 6, 0), (1, 6, 0), (1, 7, 6), (2, 3, 0)], [(0, 1, 0), (0, 6, 0), (1, 6, 6), (1, 6, 6), (1, 7, 0), (2, 3, 0)])
 
 
 def test_passages_on_two_lines_are_deleted(spark):
@@ -217,6 +251,11 @@ def test_contained_items(spark):
             if q and 100 * len(s & q) >= 80 * len(q):
                 want.add((i, j, len(q), len(s & q)))
     assert {tuple(r) for r in decontamination.contained_items(d, b).collect()} == want and len(want) >= 6
+    keys = [None, 1, 1, 2]
+    t = spark.createDataFrame([(k, x) for k, x in zip(keys, ["a b c d e f g h", "a b c d", "e f g h i", "a b c d e f g h " * 3000], strict=True)], "doc_id long, text string")
+    i = spark.createDataFrame([(None, "A B C D E F G"), (7, "a b c d e f g"), (7, "a b c d e f g"), (8, "b c d e f g h")], "item_id long, text string")
+    found = sorted(((r.doc_id or 0), (r.item_id or 0), r.n_item, r.n_shared) for r in decontamination.contained_items(t.union(t), i).collect())
+    assert found == [(k, j, 3, 3) for k in (0, 2) for j in (0, 7, 8)]
     assert decontamination.contained_items(d.where("false"), b).count() == 0 and decontamination.contained_items(d, b.where("false")).count() == 0
 
 
@@ -406,20 +445,20 @@ def test_texts_longer_than_a_stretch(spark, monkeypatch):
 # 8
 
 
-def naive_walk(text, bits):
+def naive_walk(text, seed):
     out, i = [], 0
     for j in range(fingerprints.STEPS * len(text)):
         c = 0 if i >= len(text) else (ord(text[i]) * 2654435761 % 2**32 >> 11) % 255 + 1
         out.append(c)
-        i += int(bits[j % fingerprints.PERIOD, c])
+        i += int(fingerprints.moves(seed, j // fingerprints.PERIOD)[j % fingerprints.PERIOD, c])
     return out
 
 
 def test_walks_and_samples():
     fp = fingerprints.Fingerprints()
-    texts = ["", "a", "hello world", "x" * 500, "Grüße 𝄞 " * 40]
+    texts = ["", "a", "hello world", "x" * 500, "Grüße 𝄞 " * 40, "abc" * 1500]
     for t, shown in zip(texts, fp.shown(texts), strict=True):
-        w, at = naive_walk(t, fp.bits), np.array(fp.positions.at)[fp.sample(len(t))]
+        w, at = naive_walk(t, fp.seed), np.array(fp.positions.at)[fp.sample(len(t))]
         assert list(shown) == [w[p] for p in at] and len(at) == min(fingerprints.SAMPLE, 3 * len(t))
 
 
