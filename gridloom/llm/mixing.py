@@ -10,6 +10,7 @@ from __future__ import annotations
 import random
 from itertools import accumulate
 
+import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -19,6 +20,8 @@ from .common import WORD, bucket, group_key, joined, shared_dir, spread, table,
 WEIGHTS, MOST = (5, 2, 1), 3
 #: Documents that a block holds on average, output shards.
 BLOCK_ROWS, SHARDS, SEED = 512, 16, 9
+#: Rows of the table for each piece that an arranged shard is shuffled in.
+PIECE_ROWS = 50_000
 
 
 def words(text: str) -> Column:
@@ -43,28 +46,18 @@ def targets(sizes: list[tuple[str | None, int]], weights=WEIGHTS, most: float =
 
 
 def hypergeometric(rng: random.Random, good: int, bad: int, drawn: int) -> int:
-    """How many of drawn items are good; by inversion from the mode for few items, by a rounded normal for many."""
+    """How many of drawn items are good, by inversion over the values within twelve deviations and 50 of the mode; what lies beyond has a chance under 1e-16."""
     low, high, n = max(0, drawn - bad), min(good, drawn), good + bad
     if low >= high:
         return low
-    mean = drawn * good / n
-    var = mean * (bad / n) * ((n - drawn) / max(1, n - 1))
-    if var > 400:
-        return min(high, max(low, round(rng.gauss(mean, var**0.5))))
-    k = min(high, max(low, int((drawn + 1) * (good + 1) / (n + 2))))
-    # weights relative to the mode's, outwards on both sides
-    tail = {k: 1.0}
-    w, i = 1.0, k
-    while i < high and w > 1e-16:
-        w *= (good - i) * (drawn - i) / ((i + 1) * (bad - drawn + i + 1))
-        i += 1
-        tail[i] = w
-    w, i = 1.0, k
-    while i > low and w > 1e-16:
-        w *= i * (bad - drawn + i) / ((good - i + 1) * (drawn - i + 1))
-        i -= 1
-        tail[i] = w
-    return rng.choices(list(tail), list(tail.values()))[0]
+    mode = min(high, max(low, (drawn + 1) * (good + 1) // (n + 2)))
+    reach = 50 + int(12 * (drawn * (good / n) * (bad / n) * ((n - drawn) / max(1, n - 1))) ** 0.5)
+    k = np.arange(max(low, mode - reach), min(high, mode + reach) + 1, dtype=float)
+    # logarithms of the ratios of neighbouring chances add up to those of the chances
+    steps = np.log(good - k[:-1]) + np.log(drawn - k[:-1]) - np.log(k[1:]) - np.log(bad - drawn + k[1:])
+    logs = np.concatenate([[0.0], np.cumsum(steps)])
+    chances = np.cumsum(np.exp(logs - logs.max()))
+    return int(k[np.searchsorted(chances, rng.random() * chances[-1], "right")])
 
 
 def quotas(draws: dict[str | None, int], shards: int, seed: int) -> dict[str | None, list[int]]:
@@ -148,10 +141,12 @@ def mix(docs: DataFrame, text: str = "text", source: str = "source", key: str =
     docs = docs.drop("mix_shard")
     sized = written(sized_rows(docs, text, source, key, seed), shared_dir(docs.sparkSession))
     sources, n = plan(sized, weights, most, block_rows, shards, seed)
+    rows = sized.count() if arrange else 0
     d = docs.withColumns({"__s": group_key(source), "__q": spread(seed, F.col(key), F.xxhash64(text))})
     d = drawn(d, sources, n).withColumn("__draw", F.explode("__draws")).withColumn("mix_shard", shard_of(F.col("__draw")))
     if arrange:
-        d = d.repartition("mix_shard", F.pmod("__q", F.lit(16))).sortWithinPartitions("mix_shard", F.xxhash64(F.lit(seed + 1), "__q", "__draw"))
+        pieces = -(-rows // (shards * PIECE_ROWS)) + 1
+        d = d.repartition("mix_shard", F.pmod("__q", F.lit(pieces))).sortWithinPartitions("mix_shard", F.xxhash64(F.lit(seed + 1), "__q", "__draw"))
     return d.select(*docs.columns, "mix_shard")
 
 

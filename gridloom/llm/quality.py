@@ -15,8 +15,8 @@ from .textscan import BASE, U, bytes_of, mix, slices, word_hashes
 
 #: Documents the scorer is trained on, at most: those with the least hashes of each side.
 TRAIN_ROWS = 6_000
-#: Labelled documents, not toxic and toxic, that word stems are learned from, at most; bytes of a stem; stems kept, at most.
-STEM_ROWS, STEM_BYTES, STEMS = (20_000, 5_000), (4, 5, 6), 5_000
+#: Labelled documents, not toxic and toxic, that word stems are learned from, at most; bytes of a stem.
+STEM_ROWS, STEM_BYTES = (20_000, 5_000), (4, 5, 6)
 #: Heuristics look for gross faults: they are taken to hit no more than this share of good documents. Without a bound, a fault that only one of them sees is as well explained as a way of good documents.
 MISFIRE = 0.003
 #: Words of the stretches by which repetition in long texts is judged, at least.
@@ -94,7 +94,7 @@ def learned_stems(d: DataFrame, labels: DataFrame, place: str) -> np.ndarray:
     least = max(4, int(np.ceil(np.log(1e8) / np.log(sum(n) / n[1]))))
     found = d.join(F.broadcast(chosen[0].union(chosen[1])), "id").select("text", "toxic").mapInArrow(_stem_counts, "stem long, toxic long, clean long")
     found = found.groupBy("stem").agg(F.sum("toxic").alias("t"), F.sum("clean").alias("c")).where((F.col("t") >= least) & (F.col("c") == 0))
-    return np.sort(np.array([r["stem"] for r in found.orderBy(F.desc("t"), "stem").limit(STEMS).collect()], np.int64).view(U))
+    return np.sort(np.array([r["stem"] for r in found.select("stem").collect()], np.int64).view(U))
 
 
 def repeating(hashes: np.ndarray, first: np.ndarray) -> np.ndarray:
@@ -247,7 +247,7 @@ class Model:
 
 
 def fit(docs: DataFrame, labels: DataFrame | None = None, key: str = "doc_id", text: str = "text", sample: int = TRAIN_ROWS) -> Model:
-    """Votes are taken and counted over all of docs; labels (doc_id, quality, toxic) are votes of annotators: against documents of quality 0, and against toxic ones. Several labels of a document count as the worst of them; nulls abstain."""
+    """Votes are taken and counted over all of docs, by whole texts, however long; null and empty ones get the vote on empty texts, and repeated rows count as often as they come; labels (doc_id, quality, toxic) are votes of annotators: against documents of quality 0, and against toxic ones. Several labels of a document count as the worst of them; nulls abstain."""
     spark = docs.sparkSession
     base = shared_dir(spark)
     d = docs.select(F.col(key).cast("long").alias("id"), F.col(text).cast("string").alias("text"))
