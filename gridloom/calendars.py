@@ -93,5 +93,6 @@ def calendar_of(values) -> str | None:
 
 
 def fold_cftime(query: str, units: str, calendar: str) -> str:
-    """cftime('DATE') as the number it stands for, so that it can prune."""
-    return re.sub(r"\bcftime\(\s*'([^']*)'\s*\)", lambda m: f"{date2num(parse(m[1], calendar), units)}L", query, flags=re.I)
+    """cftime('DATE') as the number it stands for, so that it can prune; string literals and comments stay."""
+    found = re.compile(r"\bcftime\(\s*'([^']*)'\s*\)|'(?:[^']|'')*'|--[^\n]*|/\*.*?\*/", re.I | re.S)
+    return found.sub(lambda m: m[0] if m[1] is None else f"{date2num(parse(m[1], calendar), units)}L", query)

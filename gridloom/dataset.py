@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import itertools
-from collections.abc import Iterator, Mapping
+from collections.abc import Callable, Iterator, Mapping
 from dataclasses import dataclass, field, replace
 
 import numpy as np
@@ -25,6 +25,73 @@ class GridVar:
         if self.values.ndim != len(self.dims):
             raise ValueError(f"{self.values.ndim} axes for dimensions {self.dims}")
 
+    @property
+    def shape(self) -> tuple[int, ...]:
+        return self.values.shape
+
+    @property
+    def dtype(self) -> np.dtype:
+        return self.values.dtype
+
+    def at(self, cuts: tuple[slice, ...]) -> np.ndarray:
+        """The values of a block."""
+        return self.values[cuts]
+
+
+class BlockVar(GridVar):
+    """A variable that is never held as a whole: block, a function that Spark can ship to its workers, gives the values of a tuple of slices. Registering it costs the driver no more than its shape."""
+
+    def __init__(self, dims, shape: tuple[int, ...], dtype, block: Callable[[tuple[slice, ...]], np.ndarray], attrs: dict | None = None, encoding: dict | None = None):
+        self.dims = (dims,) if isinstance(dims, str) else tuple(dims)
+        self._shape, self._dtype, self.block = tuple(shape), np.dtype(dtype), block
+        self.attrs, self.encoding = attrs or {}, encoding or {}
+        if len(self._shape) != len(self.dims):
+            raise ValueError(f"{len(self._shape)} axes for dimensions {self.dims}")
+
+    shape = property(lambda self: self._shape)
+    dtype = property(lambda self: self._dtype)
+
+    def at(self, cuts: tuple[slice, ...]) -> np.ndarray:
+        cuts = tuple(slice(*c.indices(n)) for c, n in zip(cuts, self._shape, strict=True))
+        out, want = np.asarray(self.block(cuts), self._dtype), tuple(len(range(c.start, c.stop, c.step)) for c in cuts)
+        if out.shape != want:
+            raise ValueError(f"a block of shape {out.shape} where {want} was asked for")
+        return out
+
+    @property
+    def values(self) -> np.ndarray:
+        return self.at((slice(None),) * len(self.dims))
+
+    def cut(self, at: Mapping[str, slice]) -> BlockVar:
+        """The part within slices of step 1, still not read."""
+        spans = [range(n)[at.get(d, slice(None))] for d, n in zip(self.dims, self._shape, strict=True)]
+        return BlockVar(self.dims, tuple(map(len, spans)), self._dtype, _Shifted(self.block, tuple(r.start for r in spans)), dict(self.attrs), dict(self.encoding))
+
+
+@dataclass
+class _Shifted:
+    block: Callable
+    start: tuple[int, ...]
+
+    def __call__(self, cuts: tuple[slice, ...]) -> np.ndarray:
+        return self.block(tuple(slice(c.start + a, c.stop + a, c.step) for c, a in zip(cuts, self.start, strict=True)))
+
+
+@dataclass
+class NpyBlocks:
+    """Blocks of a .npy file that workers map into memory; file must lie in a folder that they share."""
+
+    file: str
+
+    def __call__(self, cuts: tuple[slice, ...]) -> np.ndarray:
+        return np.load(self.file, mmap_mode="r")[cuts]
+
+
+def open_npy(dims, file: str, attrs: dict | None = None) -> BlockVar:
+    """A .npy file as a variable whose blocks are read where they are needed."""
+    head = np.load(file, mmap_mode="r")
+    return BlockVar(dims, head.shape, head.dtype, NpyBlocks(file), attrs)
+
 
 @dataclass
 class GridDataset:
@@ -41,7 +108,7 @@ class GridDataset:
         self.coords = {k: as_var(k, v) for k, v in self.coords.items()}
         sizes: dict[str, int] = {}
         for v in itertools.chain(self.data.values(), self.coords.values()):
-            for d, n in zip(v.dims, v.values.shape, strict=True):
+            for d, n in zip(v.dims, v.shape, strict=True):
                 if sizes.setdefault(d, n) != n:
                     raise ValueError(f"dimension {d} has sizes {sizes[d]} and {n}")
         self.sizes = sizes
@@ -62,6 +129,9 @@ class GridDataset:
 
     def isel(self, at: Mapping[str, slice | int | np.ndarray]) -> GridDataset:
         def cut(v: GridVar) -> GridVar:
+            own = [at[d] for d in v.dims if d in at]
+            if isinstance(v, BlockVar) and all(isinstance(k, slice) and k.step in (None, 1) for k in own):
+                return v.cut(at)
             values = v.values
             for axis in reversed(range(len(v.dims))):
                 if v.dims[axis] in at:
@@ -96,21 +166,17 @@ class GridDataset:
         return all(x.keys() == y.keys() and all(same(x[k], y[k]) for k in x) for x, y in ((self.data, other.data), (self.coords, other.coords)))
 
 
+def even_cuts(size: int, step: int) -> tuple[int, ...]:
+    """Sizes of the stretches that boundaries every step cells make of an axis; one stretch if there are none within it."""
+    edges = [0, *range(step, size, step), size] if step > 0 else [0, size]
+    return tuple(b - a for a, b in itertools.pairwise(edges))
+
+
 def resolve_chunks(ds: GridDataset, spec: Chunks) -> dict[str, tuple[int, ...]]:
-    """Chunk sizes by dimension: sizes of the spec cut an axis evenly with a remainder, other dimensions keep their chunks or are one. Keys that are no dimension count for nothing; where none is left, existing chunks hold."""
-    spec = {d: n for d, n in (spec or {}).items() if d in ds.sizes}
-    if not spec:
-        return dict(ds.chunks)
-    out = {}
-    for d, size in ds.sizes.items():
-        if d not in spec:
-            out[d] = ds.chunks.get(d, (size,))
-        elif spec[d] <= 0 or spec[d] >= size:
-            out[d] = (size,)
-        else:
-            whole, rest = divmod(size, spec[d])
-            out[d] = (spec[d],) * whole + ((rest,) if rest else ())
-    return out
+    """Chunk sizes by dimension: those that spec names are cut evenly with a remainder, others keep their chunks or are one. Keys that are no dimension count for nothing; where none is left, existing chunks hold."""
+    steps = {d: spec[d] for d in ds.sizes if spec and d in spec}
+    kept = {d: ds.chunks.get(d, (n,)) for d, n in ds.sizes.items()}
+    return kept | {d: even_cuts(ds.sizes[d], n) for d, n in steps.items()} if steps else dict(ds.chunks)
 
 
 def block_slices(ds: GridDataset, chunks: Chunks = None) -> Iterator[dict[str, slice]]:

@@ -6,11 +6,14 @@ import math
 from functools import reduce
 
 import numpy as np
-from pyspark.sql import Column, DataFrame, Window
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 #: Rows of a region or weight table, counted beforehand, up to which it is broadcast.
 BROADCAST_ROWS = 200_000
+#: Regions up to which every cell is held against each; bands that the cells' extent is cut into, at most.
+FEW, MOST_BANDS = 256, 4096
 
 
 def small(df: DataFrame, most: int = BROADCAST_ROWS) -> DataFrame:
@@ -58,14 +61,19 @@ def forecast_skill(forecast: DataFrame, truth: DataFrame, value: str, by: list[s
 
 
 def zonal_statistics(df: DataFrame, regions: DataFrame, value: str, lat: str = "lat", lon: str = "lon", region: str = "region", bin_size: float | None = None) -> DataFrame:
-    """Mean and count of value by boxes (lat_min, lat_max, lon_min, lon_max). With few regions these are broadcast; with bin_size, or with many, boxes and cells meet by latitude bands of that height."""
+    """Mean and count of value by boxes (lat_min, lat_max, lon_min, lon_max). Up to FEW regions are broadcast; with bin_size, or with more, boxes and cells meet by latitude bands, of that height or of the boxes' mean height, and MOST_BANDS at most within the cells' own extent."""
     inside = F.col(lat).between(F.col("lat_min"), F.col("lat_max")) & F.col(lon).between(F.col("lon_min"), F.col("lon_max"))
-    if bin_size is None and regions.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS:
+    if bin_size is None and regions.limit(FEW + 1).count() <= FEW:
         met = df.join(F.broadcast(regions), inside)
     else:
-        step = bin_size or 1.0
-        band = lambda c: F.floor(c / step)
-        boxes = regions.withColumn("__band", F.explode(F.sequence(band(F.col("lat_min")), band(F.col("lat_max")))))
+        low, high = df.agg(F.min(lat).cast("double"), F.max(lat).cast("double")).first()
+        if low is None:
+            low = high = 0.0
+        clipped = regions.withColumns({"__low": F.greatest(F.col("lat_min").cast("double"), F.lit(low)), "__high": F.least(F.col("lat_max").cast("double"), F.lit(high))}).where("__low <= __high")
+        height = bin_size or clipped.agg(F.avg(F.col("__high") - F.col("__low"))).first()[0] or 0.0
+        step = max(height, (high - low) / MOST_BANDS) or 1.0
+        band = lambda c: F.floor((c - F.lit(low)) / step)
+        boxes = clipped.withColumn("__band", F.explode(F.sequence(band(F.col("__low")), band(F.col("__high"))))).drop("__low", "__high")
         met = df.withColumn("__band", band(F.col(lat))).join(boxes, "__band").where(inside)
     return met.groupBy(region).agg(F.avg(value).alias(value), F.count("*").alias("n"))
 
@@ -116,17 +124,34 @@ def axis_weights(axis: np.ndarray, targets: np.ndarray) -> list[tuple[float, flo
     return out
 
 
+def axis_cells(spark: SparkSession, axis: np.ndarray) -> tuple[DataFrame, float, float]:
+    """(__bin, __low, __high) for the intervals of an ascending axis, in each of the equal bins that they reach into; the first bin's start and the bins' width. Intervals of a regular axis have a bin each, and one more at a common edge; of any axis there are no more than three rows an interval on average."""
+    axis = np.asarray(axis, float)
+    if len(axis) < 2 or (np.diff(axis) <= 0).any():
+        raise ValueError("an axis of two ascending values at least is needed")
+    width = (axis[-1] - axis[0]) / (len(axis) - 1)
+    spot = np.clip(np.floor((axis - axis[0]) / width), 0, len(axis) - 2).astype(np.int64)
+    n = spot[1:] - spot[:-1] + 1
+    row = np.repeat(np.arange(len(n)), n)
+    bins = spot[:-1][row] + np.arange(len(row)) - np.repeat(np.cumsum(n) - n, n)
+    return spark.createDataFrame(pa.table({"__bin": bins, "__low": axis[:-1][row], "__high": axis[1:][row]})), float(axis[0]), float(width)
+
+
 def bilinear_weights(points: DataFrame, axis_a: np.ndarray, axis_b: np.ndarray, a: str, b: str, outside: str = "drop") -> DataFrame:
-    """points with src_<a>, src_<b>, weight: four rows a point, found by column expressions on the two ascending axes; points off the grid give none, or are clipped to its edge."""
+    """points with src_<a>, src_<b>, weight: four rows a point, on two ascending axes whose intervals meet the points by equal bins. A point on a grid line belongs to the interval that ends there, the first line's to the one that starts there; points off the grid give no rows, or, with outside "extend", weights that go on from its edge."""
     for name, axis in ((a, axis_a), (b, axis_b)):
-        values = F.array(*(F.lit(float(v)) for v in axis))
-        i = F.least(F.greatest(F.size(F.filter(values, lambda v, c=F.col(name): v < c)) - 1, F.lit(0)), F.lit(len(axis) - 2))
+        cells, start, width = axis_cells(points.sparkSession, axis)
+        first, last, c = float(axis[0]), float(axis[-1]), F.col(name)
         if outside == "drop":
-            points = points.where(F.col(name).between(float(axis[0]), float(axis[-1])))
-        points = points.withColumn("__i", i).withColumn("__low", F.get(values, F.col("__i"))).withColumn("__high", F.get(values, F.col("__i") + 1))
-        h = (F.col(name) - F.col("__low")) / (F.col("__high") - F.col("__low"))
+            points = points.where(c.between(first, last))
+        held = F.greatest(F.least(c, F.lit(last)), F.lit(first))
+        points = points.withColumn("__c", held).withColumn("__bin", F.least(F.greatest(F.floor((F.col("__c") - start) / width), F.lit(0)), F.lit(len(axis) - 2)))
+        cells = F.broadcast(cells) if len(axis) <= BROADCAST_ROWS else cells
+        within = ((F.col("__c") > F.col("__low")) | ((F.col("__c") == F.lit(first)) & (F.col("__low") == F.lit(first)))) & (F.col("__c") <= F.col("__high"))
+        points = points.join(cells, "__bin").where(within)
+        h = (c - F.col("__low")) / (F.col("__high") - F.col("__low"))
         pair = F.array(F.struct(F.col("__low").alias("at"), (1 - h).alias("w")), F.struct(F.col("__high").alias("at"), h.alias("w")))
-        points = points.withColumn("__x", F.explode(pair)).withColumn(f"src_{name}", F.col("__x.at")).withColumn(f"__w_{name}", F.col("__x.w")).drop("__i", "__low", "__high", "__x")
+        points = points.withColumn("__x", F.explode(pair)).withColumn(f"src_{name}", F.col("__x.at")).withColumn(f"__w_{name}", F.col("__x.w")).drop("__bin", "__c", "__low", "__high", "__x")
     return points.withColumn("weight", F.col(f"__w_{a}") * F.col(f"__w_{b}")).drop(f"__w_{a}", f"__w_{b}")
 
 

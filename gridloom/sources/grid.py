@@ -1,6 +1,6 @@
-"""The `grid` data source: one scan partition a chunk of an array store.
+"""The `grid` data source: one scan partition a chunk of an array store; and `grid_parts`: one a stream of batches.
 
-A store is a folder with a manifest and one .npy file a coordinate or variable; workers map the files into memory and read only their chunk of the columns they are asked for. Predicates on dimensions drop chunks by exact bounds before any is read.
+A store is a folder with a manifest and, for each coordinate or variable, a .npy file or, if it is read in blocks, the function that gives them. Workers map the files into memory, or call the function, for their chunk of the columns they are asked for. Predicates on dimensions drop chunks by exact bounds before any is read.
 """
 
 from __future__ import annotations
@@ -10,15 +10,17 @@ import itertools
 import json
 import os
 import pickle
+from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import cloudpickle
 from pyspark.sql import SparkSession
 from pyspark.sql import datasource as D
 from pyspark.sql.types import LongType, StructType
 
 from .. import calendars as cal
-from ..dataset import GridDataset, resolve_chunks
+from ..dataset import BlockVar, GridDataset, resolve_chunks
 from ..types import infer_schema, to_arrow, whole_micros
 
 BATCH = 65_536
@@ -39,15 +41,20 @@ def write_store(ds: GridDataset, place: str, chunks=None, batch: int = BATCH) ->
     dims = next(iter(ds.data.values())).dims if ds.data else tuple(ds.sizes)
     schema = infer_schema(ds)
     for v in (*ds.dim_coords.values(), *ds.data.values()):
-        if v.values.dtype == "datetime64[ns]":
+        if not isinstance(v, BlockVar) and v.dtype == "datetime64[ns]":
             whole_micros(v.values)
     for name, v in {**{k: v for k, v in ds.dim_coords.items() if k in dims}, **ds.data}.items():
         file = f"{place}/{schema.fieldNames().index(name)}"
-        if cal.is_caldate(v.values):
+        if isinstance(v, BlockVar):
+            with open(f"{file}.block", "wb") as f:
+                cloudpickle.dump(v, f)
+        elif cal.is_caldate(v.values):
             whole = isinstance(schema[name].dataType, LongType)
             n = cal.to_offsets(v.values, schema[name].metadata["units"]) if whole else cal.to_microseconds(v.values).view("datetime64[us]")
             np.save(f"{file}.npy", n.reshape(v.values.shape))
-        elif v.values.dtype == object:
+        elif v.dtype == object and v.values.size and all(isinstance(x, str) for x in v.values.ravel()):
+            np.save(f"{file}.npy", v.values.astype(str))
+        elif v.dtype == object:
             with open(f"{file}.pkl", "wb") as f:
                 pickle.dump(v.values, f)
         else:
@@ -105,14 +112,29 @@ def may_hold(f, bounds: dict[str, list | None], times: set[str]) -> bool:
     return True
 
 
+def may_pass(told: list | None, bounds: dict[str, list | None]) -> bool:
+    """The same for a condition as told by conditions.told(): ["and" | "or", ...], [operator, column, value] or None for what isn't known."""
+    if told is None:
+        return True
+    kind, *rest = told
+    if kind in ("and", "or"):
+        return (all if kind == "and" else any)(may_pass(x, bounds) for x in rest)
+    name, value = rest
+    if not (b := bounds.get(name)):
+        return True
+    if kind == "in":
+        return any(b[0] <= v <= b[1] for v in value)
+    return {"=": b[0] <= value <= b[1], ">": b[1] > value, ">=": b[1] >= value, "<": b[0] < value, "<=": b[0] <= value, "<>": not b[0] == b[1] == value}[kind]
+
+
 class Chunk(D.InputPartition):
     def __init__(self, index: tuple[int, ...]):
         self.index = index
 
 
 class GridReader(D.DataSourceReader):
-    def __init__(self, place: str, columns: list[str] | None):
-        self.place = place
+    def __init__(self, place: str, columns: list[str] | None, where: list | None = None):
+        self.place, self.where = place, where
         with open(f"{place}/manifest.json") as f:
             self.m = json.load(f)
         self.columns, self.filters = columns, []
@@ -127,7 +149,10 @@ class GridReader(D.DataSourceReader):
         keep = []
         for d in dims:  # a conjunct on one dimension drops that dimension's chunks at once
             keep.append([i for i in range(len(m["chunks"][d])) if m["chunks"][d][i] and all(may_hold(f, {d: m["bounds"][d][i]}, times) for f in self.filters)])
-        return list(itertools.product(*keep))
+        found = itertools.product(*keep)
+        if self.where is None:
+            return list(found)
+        return [at for at in found if may_pass(self.where, {d: m["bounds"][d][i] for d, i in zip(dims, at, strict=True)})]
 
     def partitions(self):
         return [Chunk(i) for i in self.chosen()]
@@ -149,6 +174,11 @@ class GridReader(D.DataSourceReader):
                 columns.append(None)
                 continue
             path = f"{self.place}/{i}"
+            if os.path.exists(f"{path}.block"):
+                with open(f"{path}.block", "rb") as file:
+                    part = np.ascontiguousarray(pickle.load(file).at(cuts)).ravel()
+                columns.append((part, None, None))
+                continue
             if os.path.exists(f"{path}.npy"):
                 whole = np.load(f"{path}.npy", mmap_mode="r")
             else:
@@ -194,9 +224,74 @@ class GridDataSource(D.DataSource):
 
     def reader(self, schema):
         wanted = self.options.get("columns")
-        return GridReader(self.place(), json.loads(wanted) if wanted is not None else None)
+        return GridReader(self.place(), json.loads(wanted) if wanted is not None else None, json.loads(self.options.get("where", "null")))
+
+
+#: How a part of a stream is described: a function that gives its batches, bounds by dimension, number of rows.
+Part = tuple[Callable[[], Iterable[pa.RecordBatch]], dict[str, tuple], int]
+
+
+def write_parts(parts: Iterable[Part], schema: StructType, place: str) -> int:
+    """Parts of a table as a store in the folder place, taken from the iterable one at a time; the number of rows. Nothing is read from them."""
+    os.makedirs(place, exist_ok=True)
+    entries, rows = [], 0
+    with open(f"{place}/parts.pkl", "wb") as f:
+        for part in parts:
+            if not (isinstance(part, tuple) and len(part) == 3 and callable(part[0]) and isinstance(part[1], dict) and isinstance(part[2], int)):
+                raise TypeError("a part is a tuple of a function, bounds by dimension and a number of rows")
+            if unknown := set(part[1]) - set(schema.names):
+                raise TypeError(f"bounds of {sorted(unknown)}, which are no columns")
+            entries.append({"at": f.tell(), "rows": part[2], "bounds": {d: None if b is None else [_scaled(x) for x in b] for d, b in part[1].items()}})
+            cloudpickle.dump(part[0], f)
+            rows += part[2]
+    if not entries:
+        raise ValueError("a table needs one part at least")
+    with open(f"{place}/manifest.json", "w") as f:
+        json.dump({"schema": schema.jsonValue(), "parts": entries}, f)
+    return rows
+
+
+def _scaled(x):
+    """A bound as a number; times as microseconds."""
+    if isinstance(x, np.datetime64):
+        return int(x.astype("datetime64[us]").astype(np.int64))
+    return _comparable(x, True) if isinstance(x, dt.datetime) else x.item() if isinstance(x, np.generic) else x
+
+
+class PartsReader(D.DataSourceReader):
+    def __init__(self, place: str, where: list | None):
+        self.place, self.where, self.filters = place, where, []
+        with open(f"{place}/manifest.json") as f:
+            self.m = json.load(f)
+
+    def pushFilters(self, filters):
+        self.filters = list(filters)
+        return filters
+
+    def partitions(self):
+        times = {f["name"] for f in self.m["schema"]["fields"] if f["type"] == "timestamp_ntz"}
+        return [Chunk((p["at"],)) for p in self.m["parts"] if all(may_hold(f, p["bounds"], times) for f in self.filters) and may_pass(self.where, p["bounds"])]
+
+    def read(self, partition) -> Iterator[pa.RecordBatch]:
+        if partition is None:
+            return
+        with open(f"{self.place}/parts.pkl", "rb") as f:
+            f.seek(partition.index[0])
+            made = pickle.load(f)()
+        for batch in made:
+            yield batch.select(StructType.fromJson(self.m["schema"]).names)
+
+
+class PartsDataSource(GridDataSource):
+    @classmethod
+    def name(cls):
+        return "grid_parts"
+
+    def reader(self, schema):
+        return PartsReader(self.place(), json.loads(self.options.get("where", "null")))
 
 
 def register(spark: SparkSession) -> None:
     spark.conf.set("spark.sql.python.filterPushdown.enabled", "true")
     spark.dataSource.register(GridDataSource)
+    spark.dataSource.register(PartsDataSource)

@@ -19,8 +19,8 @@ PLAIN = {
 
 def field_for(name: str, v: GridVar, role: str) -> T.StructField:
     """Dimensions are never null, variables may be. Dates of a climate calendar are timestamps if it is like the Gregorian one, else offsets in the coordinate's units."""
-    meta, dtype = {"role": role}, v.values.dtype
-    if cal.is_caldate(v.values):
+    meta, dtype = {"role": role}, v.dtype
+    if dtype == object and cal.is_caldate(v.values):
         calendar = cal.calendar_of(v.values)
         meta |= {"calendar": calendar, "units": v.encoding.get("units", cal.DEFAULT_UNITS)}
         return T.StructField(name, T.TimestampNTZType() if cal.is_gregorian_like(calendar) else T.LongType(), role != "dim", meta)

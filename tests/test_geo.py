@@ -37,6 +37,35 @@ def test_bilinear_regrid_and_warp(spark):
     assert len(found) == 1 and found[0].v == pytest.approx(p.x + 2 * p.y, abs=1e-4)
 
 
+def test_weights_on_uneven_axes(spark):
+    rng = np.random.default_rng(3)
+    ax, ay = np.sort(rng.random(40)) ** 4 * 100, np.array([0.0, 1e-3, 5, 5.5, 90])
+    values = rng.random((40, 5))
+    source = spark.createDataFrame([(float(x), float(y), float(values[i, j])) for i, x in enumerate(ax) for j, y in enumerate(ay)], "x double, y double, v double")
+    pts = [(n, float(rng.uniform(ax[0], ax[-1])), float(rng.uniform(0, 90))) for n in range(80)] + [(100 + i, float(x), 5.0) for i, x in enumerate(ax)] + [(300, float(ax[-1]) + 1, 1.0)]
+    got = {r.cell: r.v for r in geo.regrid(source, geo.bilinear_weights(spark.createDataFrame(pts, "cell int, x double, y double"), ax, ay, "x", "y"), "v", {"x": "src_x", "y": "src_y"}, ["cell"]).collect()}
+
+    def plain(x, y):
+        i, j = (int(np.clip(np.searchsorted(a, c) - 1, 0, len(a) - 2)) for a, c in ((ax, x), (ay, y)))
+        h, k = (x - ax[i]) / (ax[i + 1] - ax[i]), (y - ay[j]) / (ay[j + 1] - ay[j])
+        return (values[i, j] * (1 - k) + values[i, j + 1] * k) * (1 - h) + (values[i + 1, j] * (1 - k) + values[i + 1, j + 1] * k) * h
+
+    assert set(got) == {n for n, _, _ in pts} - {300}
+    assert all(got[n] == pytest.approx(plain(x, y), abs=1e-9) for n, x, y in pts[:-1])
+    beyond = geo.bilinear_weights(spark.createDataFrame([(1, float(ax[-1]) + 1, 1.0)], "cell int, x double, y double"), ax, ay, "x", "y", outside="extend")
+    assert sum(r.weight for r in beyond.collect()) == pytest.approx(1) and beyond.count() == 4
+
+
+def test_many_and_unbounded_regions(spark):
+    df = spark.range(400).selectExpr("CAST(id % 40 AS DOUBLE) AS lat", "CAST(id % 9 AS DOUBLE) AS lon", "CAST(id AS DOUBLE) AS v")
+    rows = [(i, float(i % 50) - 5, float(i % 50), 0.0, 4.0) for i in range(300)] + [(1000, -1e9, 1e9, -1e9, 1e9)]
+    regions = spark.createDataFrame(rows, "region int, lat_min double, lat_max double, lon_min double, lon_max double")
+    got = {r.region: r.n for r in geo.zonal_statistics(df, regions, "v").collect()}
+    cells = [(i % 40, i % 9) for i in range(400)]
+    want = {r: sum(a <= x <= b and c <= y <= d for x, y in cells) for r, a, b, c, d in rows}
+    assert got == {r: n for r, n in want.items() if n}
+
+
 def test_both_anomalies_and_both_range_joins(spark):
     rng = np.random.default_rng(2)
     frame = pd.DataFrame({"lat": rng.integers(0, 4, 200) * 1.0, "lon": rng.random(200) * 9, "time": pd.Timestamp("2024-01-01") + pd.to_timedelta(rng.integers(0, 72, 200), "h"), "v": rng.random(200)})

@@ -233,6 +233,97 @@ def test_small_tables_are_the_build_side(ctx, monkeypatch):
     assert joined.collect()[0].s == pytest.approx(float((air().data["air"].values * np.arange(5.0)).sum()))
 
 
+@pytest.mark.parametrize("where,kept", [
+    ("time < '2000-01-10' OR time > '2000-04-05'", 2), ("(time < '2000-01-10' AND lat > 45) OR (time > '2000-04-05' AND lat > 100)", 1), ("lat > 100 OR lat < 0", 0),
+    ("air > 5 OR time < '2000-01-10'", 4), ("time < '2000-01-10' OR abs(lat) > 1", 4), ("NOT (time >= '2000-01-10')", 1), ("time IN ('2000-01-03', '2000-03-01')", 2),
+])
+def test_conditions_of_a_plan_prune(ctx, where, kept):
+    from gridloom import conditions
+
+    ctx.from_dataset("air", air(), chunks={"time": 25})
+    df = ctx.spark.sql(f"SELECT * FROM air WHERE {where}")
+    (path, told), = conditions.scans(df)
+    reader = GridReader(path, None, told)
+    assert path == ctx.stores["air"] and len(reader.partitions()) == kept
+    assert ctx.sql(f"SELECT count(*) n FROM air WHERE {where}").collect()[0].n == df.count()
+
+
+def test_counts_and_bounds_need_no_scan(ctx):
+    ds = air(nan=True)
+    ctx.from_dataset("air", ds, chunks={"time": 25})
+    got = ctx.sql("SELECT count(*) AS n, min(time) AS a, max(time) AS b, min(lat) AS c, count(lat) AS d FROM air")
+    assert "grid" not in got.df._jdf.queryExecution().executedPlan().toString()
+    assert tuple(got.collect()[0]) == (500, dt.datetime(2000, 1, 1), dt.datetime(2000, 4, 9), 10.0, 500)
+    assert [f.dataType for f in got.df.schema] == [f.dataType for f in ctx.spark.sql("SELECT count(*) AS n, min(time) AS a, max(time) AS b, min(lat) AS c, count(lat) AS d FROM air").schema]
+    assert ctx.statistics("air")["rows"] == 500 and ctx.statistics("air")["columns"]["lat"] == (10.0, 50.0, 0)
+    for text, want in (("SELECT count(air) AS n FROM air", 499), ("SELECT count(*) AS n FROM air WHERE lat > 20", 300), ("SELECT count(DISTINCT lat) AS n FROM air", 5), ("SELECT count(*) FILTER (WHERE lat > 20) AS n FROM air", 300), ("SELECT count(*) AS n FROM (SELECT lat FROM air LIMIT 7)", 7)):
+        assert ctx.sql(text).collect()[0].n == want
+
+
+def test_queries_leave_the_session_alone(ctx, spark):
+    ctx.from_dataset("air", air(), chunks={"time": 25})
+    before = {t.name for t in spark.catalog.listTables()}
+    assert ctx.sql("WITH air2 AS (SELECT * FROM air) SELECT count(lat + 1) n FROM air2").collect()[0].n == 500
+    assert ctx.sql("WITH air AS (SELECT 1 AS lat) SELECT sum(lat) n FROM air").collect()[0].n == 1
+    assert ctx.sql("(SELECT max(air) m FROM air)").collect()[0].m == air().data["air"].values.max()
+    assert ctx.sql("FROM air SELECT count(rain * 2) AS n").collect()[0].n == 500
+    assert {t.name for t in spark.catalog.listTables()} == before and len(spark.table("air").columns) == 4
+
+
+def _block(cuts):
+    return np.arange(cuts[0].start, cuts[0].stop)[:, None] * 1.0 + np.zeros(cuts[1].stop - cuts[1].start)[None, :]
+
+
+def test_blocks_that_are_never_whole(ctx, tmp_path):
+    from gridloom.dataset import BlockVar, open_npy
+
+    big = BlockVar(("x", "y"), (10_000_000, 1000), float, _block)
+    ds = GridDataset({"v": big}, {"x": np.arange(10_000_000), "y": np.arange(1000)})
+    ctx.from_dataset("big", ds, chunks={"x": 5000})
+    assert ctx.sql("SELECT count(*) AS n FROM big").collect()[0].n == 10**10
+    assert ctx.sql("SELECT sum(v) s FROM big WHERE x BETWEEN 7000000 AND 7000001 AND y = 3").collect()[0].s == 14_000_001
+    part = ds.isel({"x": slice(100, 110), "y": slice(2, 4)})
+    assert isinstance(part.data["v"], BlockVar) and part.data["v"].values[3].tolist() == [103.0, 103.0]
+    assert isinstance(part.isel({"x": slice(1, 3)}).data["v"], BlockVar) and part.isel({"x": slice(1, 3)}).data["v"].values[0, 0] == 101
+    np.save(tmp_path / "a.npy", np.arange(12.0).reshape(4, 3))
+    ctx.from_dataset("mapped", GridDataset({"w": open_npy(("a", "b"), str(tmp_path / "a.npy"))}, {"a": np.arange(4), "b": np.arange(3)}), chunks={"a": 2})
+    assert ctx.sql("SELECT sum(w) s FROM mapped WHERE a >= 2").collect()[0].s == sum(range(6, 12))
+    with pytest.raises(ValueError, match="shape"):
+        BlockVar(("x",), (5,), float, lambda cuts: np.zeros(3)).values
+
+
+def test_parts(ctx):
+    from pyspark.sql.types import StructType
+
+    schema = StructType().add("x", "long").add("v", "double")
+    made = lambda lo: lambda: [pa.RecordBatch.from_pydict({"x": pa.array(range(lo, lo + 10)), "v": pa.array([0.5] * 10)})]
+    ctx.from_parts("p", ((made(10 * i), {"x": (10 * i, 10 * i + 9)}, 10) for i in range(5)), schema)
+    assert ctx.sql("SELECT count(*) n, sum(v) s FROM p WHERE x < 10 OR x >= 45").collect()[0] == (15, 7.5)
+
+    def fails():
+        raise RuntimeError("not to be read")
+
+    ctx.from_parts("q", [(made(0), {"x": (0, 9)}, 10), (fails, {"x": (10, 19)}, 10)], schema)
+    assert ctx.sql("SELECT count(v) n FROM q WHERE x < 5 OR x > 100").collect()[0].n == 5
+    for parts, error in (([], ValueError), ([(made(0), {"x": (0, 1)})], TypeError), ([("no function", {}, 1)], TypeError), ([(made(0), {"nope": (0, 1)}, 1)], TypeError)):
+        with pytest.raises(error):
+            ctx.from_parts("r", parts, schema)
+
+
+def test_auto_chunks_count_the_widest_variable():
+    from gridloom.frame import auto_chunks
+
+    ds = GridDataset({"v": (("time", "x"), np.zeros((24, 4)))}, {"time": np.arange(24), "x": np.arange(4)}, chunks={"time": (2,) * 12, "x": (4,)})
+    assert auto_chunks(ds, ds, 192) == {"time": (6, 6, 6, 6), "x": (4,)}
+    narrow = GridDataset({"v": (("time", "x"), np.zeros((24, 4), "f4"))}, ds.coords, chunks=ds.chunks)
+    assert auto_chunks(narrow, narrow, 192)["time"] == (12, 12) and auto_chunks(ds, None, 1) == {"time": (24,), "x": (4,)}
+
+
+def test_cftime_in_literals_and_comments():
+    text = "SELECT 'cftime(''2000-01-01'')' AS a, cftime('1970-01-02') AS b -- cftime('x')"
+    assert cal.fold_cftime(text, cal.DEFAULT_UNITS, "360_day") == "SELECT 'cftime(''2000-01-01'')' AS a, 86400000000L AS b -- cftime('x')"
+
+
 def test_commands_run_once(ctx, spark, tmp_path):
     ctx.from_dataset("air", air(), chunks={"time": 25})
     ctx.sql(f"CREATE TABLE sink (lat DOUBLE) USING parquet LOCATION '{tmp_path}/sink'")

@@ -7,9 +7,10 @@ import duckdb
 import pandas as pd
 import pytest
 
-from gridloom.plans.catalog import ORACLES, QUERIES
+from gridloom.plans import catalog, grids
 
 SF = "/root/testdata/sf0.001"
+QUERIES, ORACLES = catalog.QUERIES | grids.QUERIES, catalog.ORACLES | grids.ORACLES
 
 
 @pytest.fixture(scope="module")
