@@ -64,6 +64,8 @@ def numbered(docs: DataFrame, key: str, text: str, place: str) -> DataFrame:
     """docs with __doc, a number in order of key: the key itself as long as no key comes with several texts, else numbers given to (key, text), which rows that repeat share; null for null keys."""
     own = F.col(key).cast("long")
     whole = F.coalesce(F.col(text).cast("string"), F.lit(""))
+    if docs.where(own.isNotNull()).groupBy(own.alias("__k")).count().where("count > 1").isEmpty():
+        return docs.withColumn("__doc", own)
     texts = docs.select(own.alias("__k"), F.xxhash64(whole).alias("__t"), F.xxhash64(F.lit(1), whole).alias("__u")).where("__k IS NOT NULL")
     several = texts.groupBy("__k").agg((F.max(F.struct("__t", "__u")) != F.min(F.struct("__t", "__u"))).alias("several"))
     if several.where("several").isEmpty():

@@ -2,13 +2,15 @@
 
 The unit is the line that is not blank, by the words on it (lower-cased, single spaces). What is deleted is exactly this: every run of consecutive lines that also starts earlier in the corpus (smaller document, then line) and has RUN lines or LONG words, whichever it reaches first.
 
-Fingerprints of a document are hashes of GRAM consecutive lines; of every WINDOW consecutive ones the least is selected, the rightmost if several are, so that any RUN = GRAM + WINDOW - 1 lines that two places share have a fingerprint selected in both. Of fingerprints that occur more than once, the RUN lines around them go on by the hashes of all of them, as do single lines and pairs of lines with LONG words or more. Each of these is joined with its own first place in the corpus, so that a longer match with a later place isn't missed for a shorter one with the first; from there the match is extended both ways along the two documents for as long as lines agree in two 64-bit hashes, and the run is deleted in the later place.
+Fingerprints of a document are hashes of GRAM consecutive lines; of every WINDOW consecutive ones the least is selected, the rightmost if several are, so that any RUN = GRAM + WINDOW - 1 lines that two places share have a fingerprint selected in both. Of fingerprints that occur more than once, the RUN lines of their windows go on by the hashes of all of them, as do single lines and pairs of lines with LONG words or more. Each of these is joined with its own first place in the corpus, so that a longer match with a later place isn't missed for a shorter one with the first; from there the match is extended both ways along the two documents for as long as lines agree in two 64-bit hashes, and the run is deleted in the later place.
 
 First places come from groupings with partial aggregation, so a line that millions of documents share costs each task one row. All of it is column expressions, joins and groupings.
 """
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -41,13 +43,17 @@ RUNS = "array<struct<a:bigint,b:bigint,at:int,n:int>>"
 
 
 def selected(d: DataFrame) -> DataFrame:
-    """(doc, h, runs): grams that are the rightmost least of some window, each with the runs of RUN lines that these windows span."""
+    """(doc, h, p, a, b, at, n): of every window the least gram, the rightmost if several are, with its place p, and the run of RUN lines that the window spans."""
     d = d.withColumn("grams", grams())
-    least = lambda start, i: F.forall(F.sequence(F.lit(0), F.lit(WINDOW - 1)), lambda j: F.when(start + j > i, F.get("grams", start + j) > F.get("grams", i)).otherwise(F.get("grams", start + j) >= F.get("grams", i)))
-    starts = lambda i: F.filter(F.array(*(i - s for s in range(WINDOW))), lambda start: (start >= 0) & (start + WINDOW <= F.size("grams")) & least(start, i))
-    found = F.filter(F.transform("grams", lambda g, i: F.struct(g.alias("h"), starts(i).alias("starts"))), lambda x: F.size(x["starts"]) > 0)
-    runs = F.transform(found, lambda x: F.struct(x["h"].alias("h"), F.transform(x["starts"], lambda s: run_of(s, RUN)).cast(RUNS).alias("runs")))
-    return d.select("doc", F.explode(runs).alias("x")).select("doc", "x.h", "x.runs")
+    starts = F.when(F.size("grams") >= WINDOW, F.sequence(F.lit(0), F.size("grams") - WINDOW)).otherwise(F.array().cast("array<int>"))
+
+    def window(s: Column) -> Column:
+        held = [F.get("grams", s + j) for j in range(WINDOW)]
+        least = F.least(*held) if WINDOW > 1 else held[0]
+        place = reduce(lambda x, j: x.when(held[j] == least, s + j), range(WINDOW - 2, -1, -1), F.when(held[-1] == least, s + WINDOW - 1))
+        return F.struct(least.alias("h"), place.cast("int").alias("p"), run_of(s, RUN).alias("run"))
+
+    return d.select("doc", F.explode(F.transform(starts, window)).alias("x")).select("doc", "x.h", "x.p", "x.run.*")
 
 
 def long_runs(d: DataFrame) -> DataFrame:
@@ -62,10 +68,11 @@ def long_runs(d: DataFrame) -> DataFrame:
 
 def repeated_runs(docs: DataFrame, text: str, base: str) -> DataFrame:
     """(doc, source, shift, lo, hi): runs of lines (numbers among those not blank) of docs (__doc, text) that also stand shift lines before in source, extended both ways; at: numbers of the lines in the text."""
-    d = written(lined(docs.where("__doc IS NOT NULL"), text).where("size(hashes) > 0").dropDuplicates(["doc"]), f"{base}/lines")
+    d = written(lined(docs.where("__doc IS NOT NULL"), text).where("size(hashes) > 0"), f"{base}/lines")
     prints = written(selected(d), f"{base}/prints")
-    again = prints.groupBy("h").agg(F.count("*").alias("c")).where("c > 1").select("h")
-    three = prints.join(again, "h").select("doc", F.inline("runs"))
+    place = F.struct("doc", "p")
+    again = prints.groupBy("h").agg(F.min(place).alias("first"), F.max(place).alias("last")).where("first != last").select("h")
+    three = prints.join(again, "h").select("doc", "a", "b", "at", "n")
     entries = written(three.unionByName(long_runs(d)), f"{base}/entries")
     first = entries.groupBy("a", "b").agg(F.min(F.struct("doc", "at")).alias("f"), F.count("*").alias("c")).where("c > 1").select("a", "b", F.col("f.doc").alias("source"), F.col("f.at").alias("from"))
     later = entries.join(first, ["a", "b"]).where("doc != source OR at != from")
