@@ -231,8 +231,11 @@ def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All pages archived, indexed and read back."""
     place, base = shared_dir(spark), shared_dir(spark)
     index = written(write_archives(table(spark, sf_dir, "pages"), place), f"{base}/index")
-    records = read_archives(spark, place, index).drop("page_id")
-    return index.join(records, ["file", "offset"]).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+    records = read_archives(spark, place, index)
+    # both sides grow with the pages, so they meet by a shuffle; an entry whose record is missing is an error
+    found = index.select("file", "offset").join(records.withColumn("found", F.lit(True)).hint("merge"), ["file", "offset"], "left")
+    kind = F.when(F.col("found"), F.col("record_type")).otherwise(F.raise_error(F.lit("an archive lacks a record of the index")))
+    return found.select("page_id", "payload_bytes", "payload_digest", kind.alias("record_type"), "refers_to")
 
 
 ORACLE = """
