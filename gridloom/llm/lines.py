@@ -127,12 +127,12 @@ ORACLE = r"""
 WITH d AS (SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS l FROM documents),
 e AS (SELECT doc_id, unnest(l) AS t, unnest(range(len(l))) AS line FROM d),
 n AS (SELECT doc_id, line, regexp_extract_all(lower(t), '[^\x20\x09-\x0D]+') AS w FROM e),
-s AS (SELECT doc_id, line, array_to_string(w, ' ') AS t, len(w) AS n, row_number() OVER (PARTITION BY doc_id ORDER BY line) AS at FROM n WHERE len(w) > 0),
-r AS (SELECT a.doc_id, a.at, 1 AS len, a.t AS t FROM s AS a WHERE a.n >= 50
-  UNION ALL SELECT a.doc_id, a.at, 2, a.t || chr(10) || b.t FROM s AS a JOIN s AS b ON b.doc_id = a.doc_id AND b.at = a.at + 1 WHERE a.n + b.n >= 50
-  UNION ALL SELECT a.doc_id, a.at, 3, a.t || chr(10) || b.t || chr(10) || c.t FROM s AS a JOIN s AS b ON b.doc_id = a.doc_id AND b.at = a.at + 1 JOIN s AS c ON c.doc_id = a.doc_id AND c.at = a.at + 2),
-o AS (SELECT doc_id, at, len, row_number() OVER (PARTITION BY len, t ORDER BY doc_id, at) AS nth FROM r),
-g AS (SELECT DISTINCT s.doc_id, s.line FROM o JOIN s ON s.doc_id = o.doc_id AND s.at BETWEEN o.at AND o.at + o.len - 1 WHERE o.nth > 1),
+s AS (SELECT doc_id, line, array_to_string(w, ' ') AS t, len(w) AS n, row_number() OVER (PARTITION BY doc_id ORDER BY line) AS pos FROM n WHERE len(w) > 0),
+r AS (SELECT a.doc_id, a.pos, 1 AS len, a.t AS t FROM s AS a WHERE a.n >= 50
+  UNION ALL SELECT a.doc_id, a.pos, 2, a.t || chr(10) || b.t FROM s AS a JOIN s AS b ON b.doc_id = a.doc_id AND b.pos = a.pos + 1 WHERE a.n + b.n >= 50
+  UNION ALL SELECT a.doc_id, a.pos, 3, a.t || chr(10) || b.t || chr(10) || c.t FROM s AS a JOIN s AS b ON b.doc_id = a.doc_id AND b.pos = a.pos + 1 JOIN s AS c ON c.doc_id = a.doc_id AND c.pos = a.pos + 2),
+o AS (SELECT doc_id, pos, len, row_number() OVER (PARTITION BY len, t ORDER BY doc_id, pos) AS nth FROM r),
+g AS (SELECT DISTINCT s.doc_id, s.line FROM o JOIN s ON s.doc_id = o.doc_id AND s.pos BETWEEN o.pos AND o.pos + o.len - 1 WHERE o.nth > 1),
 k AS (SELECT e.doc_id, count(*) AS n_lines, count(g.line) AS n_removed, coalesce(string_agg(e.t, chr(10) ORDER BY e.line) FILTER (WHERE g.line IS NULL), '') AS kept FROM e LEFT JOIN g ON g.doc_id = e.doc_id AND g.line = e.line GROUP BY e.doc_id)
 SELECT doc_id, CAST(n_lines AS INTEGER) AS n_lines, CAST(n_removed AS INTEGER) AS n_removed, sha256(kept) AS kept_sha256 FROM k
 """

@@ -30,7 +30,7 @@ HELD = 1_000_000
 #: Contexts of an anchor beyond which they are dealt by string.
 CROWD = 1_000
 #: Strings put into suffix order at a time.
-SORTED = 500_000
+SORTED = 200_000
 ROW = "h long, c long, doc long, at long, span int"
 NAMES = ["h", "c", "doc", "at", "span"]
 INVERSE = pow(BASE, -1, 1 << 64)
