@@ -163,5 +163,6 @@ def regrid(source: DataFrame, weights: DataFrame, value: str, on: dict[str, str]
 
 def warp(source: DataFrame, targets: DataFrame, axis_x: np.ndarray, axis_y: np.ndarray, value: str, zone: int, cell: list[str], lon: str = "lon", lat: str = "lat", south: bool = False) -> DataFrame:
     """value of a UTM grid (x, y) at targets given by longitude and latitude; targets off the grid give no rows."""
-    xy = targets.withColumn("__p", lonlat_to_utm(F.col(lon), F.col(lat), zone, south)).select(*cell, F.col("__p.x").alias("x"), F.col("__p.y").alias("y"))
+    # a generator keeps the optimiser from writing the projection out for each use of x and y
+    xy = targets.select(*cell, F.inline(F.array(lonlat_to_utm(F.col(lon), F.col(lat), zone, south))))
     return regrid(source, bilinear_weights(xy, axis_x, axis_y, "x", "y"), value, {"x": "src_x", "y": "src_y"}, cell)

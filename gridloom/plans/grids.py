@@ -275,5 +275,5 @@ def grid_warp(spark: SparkSession, sf_dir: str) -> DataFrame:
     plane = GridDataset({"v": (("y", "x"), 2 * axis_x[None, :] + 3 * axis_y[:, None])}, {"y": axis_y, "x": axis_x})
     ctx = GridContext(spark, _folder(spark)).from_dataset("plane", plane, chunks={"y": 20})
     at = F.col("id")
-    targets = spark.range(3600).select(at.alias("cell"), geo.utm_to_lonlat(440_000.0 + 1500 * (at % 60), 5_400_000.0 + 1500 * F.floor(at / 60), 33).alias("p")).select("cell", "p.lon", "p.lat")
+    targets = spark.range(3600).select(at.alias("cell"), F.inline(F.array(geo.utm_to_lonlat(440_000.0 + 1500 * (at % 60), 5_400_000.0 + 1500 * F.floor(at / 60), 33))))
     return geo.warp(ctx.read("plane"), targets, axis_x, axis_y, "v", 33, ["cell"]).select("cell", F.round("v", 2).alias("v"))
