@@ -14,7 +14,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import WORD, bucket, group_key, joined, shared_dir, spread, table, written
+from .common import WORD, bucket, delete, group_key, joined, shared_dir, spread, table, written
 
 #: Weights of sources in code-point order, repeating; no source is taken more than MOST times.
 WEIGHTS, MOST = (5, 2, 1), 3
@@ -141,18 +141,30 @@ def mix(docs: DataFrame, text: str = "text", source: str = "source", key: str =
     docs = docs.drop("mix_shard")
     sized = written(sized_rows(docs, text, source, key, seed), shared_dir(docs.sparkSession))
     sources, n = plan(sized, weights, most, block_rows, shards, seed)
-    rows = sized.count() if arrange else 0
+    return laid(docs, sources, n, sized.count() if arrange else None, text, source, key, shards, seed)
+
+
+def laid(docs: DataFrame, sources: DataFrame, n_sources: int, rows: int | None, text: str = "text", source: str = "source", key: str = "doc_id", shards: int = SHARDS, seed: int = SEED) -> DataFrame:
+    """The rows of docs that a plan draws, with mix_shard; each shard brought together and shuffled in pieces, by the number of rows of docs, unless that is None."""
     d = docs.withColumns({"__s": group_key(source), "__q": spread(seed, F.col(key), F.xxhash64(text))})
-    d = drawn(d, sources, n).withColumn("__draw", F.explode("__draws")).withColumn("mix_shard", shard_of(F.col("__draw")))
-    if arrange:
+    d = drawn(d, sources, n_sources).withColumn("__draw", F.explode("__draws")).withColumn("mix_shard", shard_of(F.col("__draw")))
+    if rows is not None:
         pieces = -(-rows // (shards * PIECE_ROWS)) + 1
         d = d.repartition("mix_shard", F.pmod("__q", F.lit(pieces))).sortWithinPartitions("mix_shard", F.xxhash64(F.lit(seed + 1), "__q", "__draw"))
     return d.select(*docs.columns, "mix_shard")
 
 
 def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """What the mix takes of every document."""
-    sized = written(sized_rows(table(spark, sf_dir, "documents"), "text", "source", "doc_id", SEED), shared_dir(spark))
+    """What the mix takes of every document, counted in the shards that it writes, and the first and last of them."""
+    docs, base = table(spark, sf_dir, "documents").drop("mix_shard"), shared_dir(spark)
+    sized = written(sized_rows(docs, "text", "source", "doc_id", SEED), f"{base}/sized")
     sources, n = plan(sized)
-    d = drawn(sized, sources, n)
-    return d.select("doc_id", "size", F.col("__size").alias("source_size"), F.col("__target").alias("target"), (F.col("size") * F.size("__draws")).alias("taken"), F.transform("__draws", shard_of).alias("shards"))
+    mixed = written(laid(docs, sources, n, sized.count()), f"{base}/mixed")
+    # rows that are equal in key and text are taken together, so each has its share of what is found
+    there = sized.select("doc_id", "__q", F.lit(1).alias("one"), F.lit(None).cast("int").alias("mix_shard"))
+    found = mixed.select("doc_id", spread(SEED, F.col("doc_id"), F.xxhash64("text")).alias("__q"), F.lit(0).alias("one"), "mix_shard")
+    counts = there.union(found).groupBy(F.col("doc_id").alias("__k"), F.col("__q").alias("__r"))
+    counts = written(counts.agg(F.sum("one").alias("__n"), F.count("mix_shard").alias("__c"), F.min("mix_shard").alias("first_shard"), F.max("mix_shard").alias("last_shard")), f"{base}/counts")
+    delete(spark, f"{base}/mixed")
+    d = joined(sized, sources, ["__s"], n).join(counts, (F.col("__q") == F.col("__r")) & F.col("doc_id").eqNullSafe(F.col("__k")))
+    return d.select("doc_id", "size", F.col("__size").alias("source_size"), F.col("__target").alias("target"), F.expr("size * (__c div __n)").alias("taken"), "first_shard", "last_shard")

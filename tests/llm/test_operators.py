@@ -593,3 +593,15 @@ def test_plain_conversations(spark):
         mine = [x for x in rows if x[0] == r.conv_id]
         assert [(t.role, t.text) for t in r.turns] == [x[2:] for x in mine]
         assert r.loss_text == "".join(x[3] for x in mine if x[2] == "assistant")
+
+
+def test_mixture_is_counted_in_its_shards(spark, tmp_path):
+    rows = [(1, "a", "x y z")] * 5 + [(None, "a", "p q"), (2, "b", None), (3, "b", "w w w w"), (3, "b", "other")] + [(i, "a", f"word {i}") for i in range(10, 40)]
+    docs = spark.createDataFrame(rows, "doc_id long, source string, text string").withColumn("mix_shard", F.lit("clash"))
+    docs.write.parquet(f"{tmp_path}/documents.parquet")
+    sized = mixing.sized_rows(docs, "text", "source", "doc_id", mixing.SEED)
+    planned = mixing.drawn(sized, *mixing.plan(sized)).select("doc_id", "size", (F.col("size") * F.size("__draws")).alias("taken"))
+    got = mixing.op9(spark, str(tmp_path)).select("doc_id", "size", "taken")
+    assert sorted(map(str, got.collect())) == sorted(map(str, planned.collect()))
+    empty(docs).write.parquet(f"{tmp_path}/none/documents.parquet")
+    assert mixing.op9(spark, f"{tmp_path}/none").count() == 0
