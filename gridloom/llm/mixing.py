@@ -150,7 +150,7 @@ def laid(docs: DataFrame, sources: DataFrame, n_sources: int, rows: int | None,
     d = drawn(d, sources, n_sources).withColumn("__draw", F.explode("__draws")).withColumn("mix_shard", shard_of(F.col("__draw")))
     if rows is not None:
         pieces = -(-rows // (shards * PIECE_ROWS)) + 1
-        d = d.repartition("mix_shard", F.pmod("__q", F.lit(pieces))).sortWithinPartitions("mix_shard", F.xxhash64(F.lit(seed + 1), "__q", "__draw"))
+        d = d.repartition(shards * pieces, "mix_shard", F.pmod("__q", F.lit(pieces))).sortWithinPartitions("mix_shard", F.xxhash64(F.lit(seed + 1), "__q", "__draw"))
     return d.select(*docs.columns, "mix_shard")
 
 
