@@ -4,7 +4,7 @@ A byte string of LENGTH bytes has an anchor: of its GRAM-byte grams, the (leftmo
 
 1. Each task finds the anchors of its documents. Of equal contexts all but the first are repeats throughout; only the first goes on, so that a passage with many copies costs each task one row.
 2. Dealt by anchor and sorted, equal contexts are settled over all tasks the same way; anchors that are left with one context have no further repeats. Contexts count as equal if two 64-bit hashes are, of the anchor and, by other arithmetic, of the whole context.
-3. For the others, mostly where repeats begin and end, the bytes of contexts are read again and each group gets its suffix order (prefix doubling up to LENGTH bytes), common-prefix lengths of neighbours, and from the previous and next smaller place of each suffix its longest previous factor, all capped at LENGTH. Where that is LENGTH, the string came before. Contexts of an anchor that has more than CROWD of them, such as a common line in different surroundings, are taken apart: each string goes on by itself, dealt by its own hash, once a place for each slice of a task, so that no task gets the crowd.
+3. For the others, mostly where repeats begin and end, the bytes of contexts are read again and each group gets its suffix order (prefix doubling up to LENGTH bytes), common-prefix lengths of neighbours, and from the previous and next smaller place of each suffix its longest previous factor, all capped at LENGTH. Where that is LENGTH, the string came before. Contexts of an anchor that has more than CROWD of them, such as a common line in different surroundings, are taken apart so that no task gets the crowd: into parts of up to WIDE neighbouring strings, dealt by the bytes around the anchor that strings at those places share, and of equal parts in a slice of a task only the first goes on. Only if more than CROWD parts share even those bytes does each of their strings go on by itself, dealt by its own hash. Rows that are left alone with what they are dealt by have no repeats.
 4. Starts of repeats are gathered by document and the bytes they cover are cut.
 
 Groups are read from sorted partitions, so a task holds SORTED strings at a time, however large its partition or a group is.
@@ -29,10 +29,13 @@ WINDOW, STRETCH = LENGTH - GRAM + 1, 1 << 20
 HELD = 1_000_000
 #: Contexts of an anchor beyond which they are dealt by string.
 CROWD = 1_000
+#: Neighbouring strings of a crowd's context that are dealt together.
+WIDE = 16
 #: Strings put into suffix order at a time.
 SORTED = 200_000
 ROW = "h long, c long, doc long, at long, span int"
 NAMES = ["h", "c", "doc", "at", "span"]
+PIECE = "h long, doc long, lo long, hi long, data binary"
 INVERSE = pow(BASE, -1, 1 << 64)
 
 
@@ -180,26 +183,84 @@ def _shared(batches):
         held = (*(x[-1] for x in found), bool(shared[-1]))
 
 
+def _pieces(h, doc, lo, hi, data, crowd) -> pa.RecordBatch:
+    """Strings that start at lo..hi and their bytes, dealt by h; crowd: whether the row is part of a context of a crowd."""
+    columns = [pa.array(np.ascontiguousarray(x).view(np.int64) if x.dtype == U else x) for x in (h, doc, lo, hi)]
+    return pa.RecordBatch.from_arrays([*columns, pa.array(data, pa.binary()), pa.array(np.full(len(columns[0]), crowd))], ["h", "doc", "lo", "hi", "data", "crowd"])
+
+
+def _dropped(doc: np.ndarray, lo: np.ndarray, hi: np.ndarray) -> pa.RecordBatch:
+    """Repeated starts lo..hi among pieces: data is null."""
+    gone = _gone(doc, lo, hi)
+    return _pieces(*(gone.column(x).to_numpy() for x in ("h", "doc", "at", "c")), [None] * len(gone), False)
+
+
 def _contexts(batches):
-    """The bytes around anchors, and of crowds every string by itself, the first of equal ones in a slice; what came before it there is gone: data is null."""
+    """The bytes around anchors; contexts of crowds in parts, the first of equal ones in a slice."""
     for batch in slices(batches, "text"):
         raw, offsets = bytes_of(batch.column("text"))
-        out, alone = [], {}
-        for doc, start, items in zip(batch.column("doc").to_pylist(), offsets[:-1].tolist(), batch.column("items").to_pylist(), strict=True):
-            for i in items:
-                lo, hi = i["at"] - (i["span"] >> 8), i["at"] - (i["span"] & 255)
-                if i["crowd"]:
-                    alone |= {(doc, lo + k): start + lo + k for k in range(hi - lo + 1)}
-                else:
-                    out.append((i["h"], doc, lo, raw[start + lo : start + hi + LENGTH].tobytes()))
-        if alone:
-            doc, lo, at = np.array([(*place, at) for place, at in sorted(alone.items())], np.int64).T
+        n, items = np.asarray(pa.compute.list_value_length(batch.column("items"))), batch.column("items").flatten()
+        doc, start = np.repeat(batch.column("doc").to_numpy(), n), np.repeat(offsets[:-1], n)
+        h, at, span, crowd = (pa.compute.struct_field(items, x).to_numpy(zero_copy_only=False) for x in ("h", "at", "span", "crowd"))
+        most, least = (span >> 8).astype(np.int64), (span & 255).astype(np.int64)  # places before the anchor
+        own = np.flatnonzero(~crowd)
+        if len(own):
+            lo, hi = (at - most)[own], (at - least)[own]
+            data = [raw[a:b].tobytes() for a, b in zip((start[own] + lo).tolist(), (start[own] + hi + LENGTH).tolist(), strict=True)]
+            yield _pieces(h[own], doc[own], lo, hi, data, False)
+        own = np.flatnonzero(crowd)
+        if not len(own):
+            continue
+        parts = most[own] // WIDE - least[own] // WIDE + 1
+        own = np.repeat(own, parts)
+        part = least[own] // WIDE + np.arange(len(own)) - np.repeat(np.cumsum(parts) - parts, parts)
+        near, far = part * WIDE, np.minimum(part * WIDE + WIDE, WINDOW) - 1
+        doc, start, at = doc[own], start[own], at[own]
+        lo, hi = at - np.minimum(most[own], far), at - np.maximum(least[own], near)
+        h = mix(block_hashes(raw, start + at - near, start + at + LENGTH - far, 2 * LENGTH) ^ part.astype(U))
+        order = np.lexsort((lo, doc))
+        once = np.ones(len(order), bool)
+        once[1:] = (np.diff(doc[order]) != 0) | (np.diff(lo[order]) != 0)  # rows that repeat a document
+        order = order[once]
+        h, doc, start, lo, hi = (x[order] for x in (h, doc, start, lo, hi))
+        first: dict[bytes, int] = {}
+        for i, (a, b) in enumerate(zip((start + lo).tolist(), (start + hi + LENGTH).tolist(), strict=True)):
+            first.setdefault(raw[a:b].tobytes(), i)
+        new = np.zeros(len(lo), bool)
+        new[list(first.values())] = True
+        yield _pieces(h[new], doc[new], lo[new], hi[new], list(first), True)
+        if not new.all():
+            yield _dropped(doc[~new], lo[~new], hi[~new])
+
+
+def _strings(rows: pa.Table) -> tuple[np.ndarray, ...]:
+    """All strings of rows in order of place, each place once: the rows' bytes, and of each string its document, place and where it is among the bytes."""
+    docs, los = rows["doc"].to_numpy(), rows["lo"].to_numpy()
+    lengths = np.asarray(pa.compute.binary_length(rows["data"].combine_chunks())).astype(np.int64)
+    raw = np.frombuffer(b"".join(rows["data"].to_pylist()), np.uint8)
+    n = lengths - LENGTH + 1
+    row = np.repeat(np.arange(len(n)), n)
+    i = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+    doc, place, at = docs[row], los[row] + i, (np.cumsum(lengths) - lengths)[row] + i
+    order = np.lexsort((place, doc))
+    once = np.ones(len(order), bool)
+    once[1:] = (np.diff(doc[order]) != 0) | (np.diff(place[order]) != 0)
+    order = order[once]
+    return raw, doc[order], place[order], at[order]
+
+
+def _alone(batches):
+    """Pieces; those that are large come string by string, dealt by their own hashes, the first of equal ones in a batch."""
+    names = ["h", "doc", "lo", "hi", "data"]
+    for batch in batches:
+        large = pa.compute.and_(batch.column("large").is_valid(), batch.column("data").is_valid())
+        yield batch.filter(pa.compute.invert(large)).select(names)
+        if len(rows := batch.filter(large)):
+            raw, doc, place, at = _strings(pa.Table.from_batches([rows]))
             gone = earlier(raw, at)
-            own = block_hashes(raw, at, at + LENGTH, LENGTH).view(np.int64)
-            out += [(int(own[i]), int(doc[i]), int(lo[i]), None if gone[i] else raw[at[i] : at[i] + LENGTH].tobytes()) for i in range(len(at))]
-        if out:
-            h, doc, lo, data = zip(*out, strict=True)
-            yield pa.RecordBatch.from_arrays([pa.array(h, pa.int64()), pa.array(doc, pa.int64()), pa.array(lo, pa.int64()), pa.array(data, pa.binary())], ["h", "doc", "lo", "data"])
+            yield _dropped(doc[gone], place[gone], place[gone]).select(names)
+            doc, place, at = doc[~gone], place[~gone], at[~gone]
+            yield _pieces(block_hashes(raw, at, at + LENGTH, LENGTH), doc, place, place, [raw[x : x + LENGTH].tobytes() for x in at.tolist()], True).select(names)
 
 
 def dense(keys: np.ndarray) -> np.ndarray:
@@ -207,11 +268,31 @@ def dense(keys: np.ndarray) -> np.ndarray:
     return np.unique(keys, return_inverse=True)[1].astype(np.int64)
 
 
+def _needed() -> dict[int, list[int]]:
+    """By width, the offsets from a suffix at which suffix_order() looks at ranks of so many bytes: to double them, and for common prefixes."""
+    widths = [8]
+    while widths[-1] < LENGTH:
+        widths.append(min(2 * widths[-1], LENGTH))
+    out, left = {LENGTH: [0]}, {0}
+    for wide, width in zip(widths[:0:-1], widths[-2::-1], strict=True):
+        out[width] = sorted({x + y for x in out[wide] for y in (0, wide - width)} | {x for x in left if x + width <= LENGTH})
+        left |= {x + width for x in left if x + width <= LENGTH}
+    return out
+
+
+NEEDED = _needed()
+
+
+def _reach(at: np.ndarray, width: int) -> np.ndarray:
+    return np.unique((at[:, None] + np.array(NEEDED[width])).ravel())
+
+
 def suffix_order(raw: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """The suffixes of raw at each of at in order of their first LENGTH bytes, equal ones as they are given, and the common-prefix length, up to LENGTH, of each with the one before; by prefix doubling."""
     eight = np.ndarray((max(0, len(raw) - 7),), ">u8", raw, strides=(1,))
     # ranks of the bytes at every offset that is needed, from eight bytes on
-    levels, width, reach = [], 8, np.unique((at[:, None] + np.arange(LENGTH - 7)).ravel()) if len(at) < len(raw) // LENGTH else np.arange(len(raw) - 7)
+    few = len(at) * len(NEEDED[8]) < len(raw)
+    levels, width, reach = [], 8, _reach(at, 8) if few else np.arange(len(raw) - 7)
     rank = np.zeros(len(raw), np.int64)
     rank[reach] = dense(eight[reach].astype(U))
     while True:
@@ -220,8 +301,7 @@ def suffix_order(raw: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarra
             break
         step = min(width, LENGTH - width)
         reach = reach[reach + step + width <= len(raw)]
-        last = width + step == LENGTH
-        reach = at if last else reach
+        reach = at if width + step == LENGTH else _reach(at, width + step) if few else reach
         doubled = np.zeros(len(raw), np.int64)
         doubled[reach] = dense(rank[reach] * np.int64(len(raw) + 1) + rank[reach + step])
         width, rank = width + step, doubled
@@ -297,14 +377,13 @@ def _groups(batches) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, pa.Ar
 
 def _matched(batches):
     def known(batch: pa.RecordBatch) -> pa.RecordBatch:
-        return batch.filter(pa.compute.is_valid(batch.column("data")))
+        return batch.filter(pa.compute.is_valid(batch.column("data"))).select(["h", "doc", "lo", "data"])
 
     def told():
         for batch in batches:
             gone = batch.filter(pa.compute.is_null(batch.column("data")))
             if gone.num_rows:
-                doc, lo = gone.column("doc").to_numpy(), gone.column("lo").to_numpy()
-                found.append(_gone(doc, lo, lo))
+                found.append(_gone(*(gone.column(x).to_numpy() for x in ("doc", "lo", "hi"))))
             if len(rest := known(batch)):
                 yield rest
 
@@ -317,18 +396,12 @@ def _matched(batches):
         except StopIteration:
             break
         send = None
-        docs, los = rows["doc"].to_numpy(), rows["lo"].to_numpy()
-        lengths = np.asarray(pa.compute.binary_length(rows["data"].combine_chunks())).astype(np.int64)
-        raw = np.frombuffer(b"".join(rows["data"].to_pylist()), np.uint8)
-        n = lengths - LENGTH + 1
-        row = np.repeat(np.arange(len(n)), n)
-        i = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
-        doc, place, at = docs[row], los[row] + i, (np.cumsum(lengths) - lengths)[row] + i
-        order = np.lexsort((place, doc))
-        once = np.ones(len(order), bool)
-        once[1:] = (np.diff(doc[order]) != 0) | (np.diff(place[order]) != 0)
-        order = order[once]
-        doc, place, at = doc[order], place[order], at[order]
+        if not part:
+            same = np.diff(rows["h"].to_numpy()) == 0
+            rows = rows.filter(pa.array(np.append(False, same) | np.append(same, False)))
+            if not len(rows):
+                continue
+        raw, doc, place, at = _strings(rows)
         gone = earlier(raw, at)
         found.append(_gone(doc[gone], place[gone], place[gone]))
         if part:  # what is left of the group so far stands for it
@@ -372,9 +445,15 @@ def without_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text") ->
     shared = written(found.repartition("h").sortWithinPartitions("h", "c", "doc", "at").mapInArrow(_shared, ROW), f"{base}/shared")
     open_ = shared.where("span >= 0")
     crowds = written(open_.groupBy("h").agg(F.count("*").alias("n")).where(F.col("n") > CROWD).select("h", F.lit(True).alias("crowd")), f"{base}/crowds")
-    items = joined(open_, crowds, ["h"], crowds.count(), "left").groupBy("doc").agg(F.collect_list(F.struct("h", "at", "span", F.coalesce("crowd", F.lit(False)).alias("crowd"))).alias("items"))
-    contexts = keyed.select("doc", "text").join(items, "doc").mapInArrow(_contexts, "h long, doc long, lo long, data binary")
-    matched = written(contexts.repartition("h").sortWithinPartitions("h", "doc", "lo").mapInArrow(_matched, ROW), f"{base}/matched")
+    crowded = crowds.count()
+    items = joined(open_, crowds, ["h"], crowded, "left").groupBy("doc").agg(F.collect_list(F.struct("h", "at", "span", F.coalesce("crowd", F.lit(False)).alias("crowd"))).alias("items"))
+    contexts = keyed.select("doc", "text").join(items, "doc").mapInArrow(_contexts, PIECE + ", crowd boolean")
+    if crowded:
+        contexts = written(contexts, f"{base}/contexts")
+        large = written(contexts.where("crowd").groupBy("h").agg(F.count("*").alias("n")).where(F.col("n") > CROWD).select("h", F.lit(True).alias("large")), f"{base}/large")
+        if count := large.count():
+            contexts = joined(contexts, large, ["h"], count, "left").mapInArrow(_alone, PIECE)
+    matched = written(contexts.select("h", "doc", "lo", "hi", "data").repartition("h").sortWithinPartitions("h", "doc", "lo").mapInArrow(_matched, ROW), f"{base}/matched")
     starts = shared.where("span < 0").unionByName(matched).select("doc", F.col("at").alias("lo"), F.col("c").alias("hi"))
     spans = starts.groupBy("doc").agg(F.collect_list(F.struct("lo", "hi")).alias("spans"))
     none = d.where("key IS NULL").select("key", "text", F.lit(None).cast("array<struct<lo:bigint,hi:bigint>>").alias("spans"))

@@ -433,6 +433,34 @@ def test_a_passage_in_many_surroundings(spark, monkeypatch):
     assert got == brute_repeats(rows)
 
 
+def test_a_crowd_costs_little_more_than_its_texts():
+    rng = random.Random(13)
+    common = "".join(rng.choices("abcdefgh", k=60))
+    rows = [(i, "".join(rng.choices("ijklmnop", k=90)) + common + "".join(rng.choices("ijklmnop", k=90))) for i in range(40)]
+    d = pa.RecordBatch.from_pydict({"doc": [i for i, _ in rows], "text": [t for _, t in rows]})
+    found = [r for b in repeats._found([d]) for r in b.to_pylist()]
+    items = [[{"h": r["h"], "at": r["at"], "span": r["span"], "crowd": True} for r in found if r["doc"] == i] for i, _ in rows]
+    kind = pa.list_(pa.struct([("h", pa.int64()), ("at", pa.int64()), ("span", pa.int32()), ("crowd", pa.bool_())]))
+    sent = pa.Table.from_batches(repeats._contexts([d.append_column("items", pa.array(items, kind))]))
+    lengths = pa.compute.binary_length(sent["data"]).to_pylist()
+    assert sum(n - repeats.LENGTH + 1 for n in lengths) == sum(len(t) - repeats.LENGTH + 1 for _, t in rows)  # every string, once
+    assert sum(lengths) < 10 * sum(len(t) for _, t in rows)  # 59 times, if each string came by itself
+
+
+def test_suffix_order_of_strings_apart(monkeypatch):
+    rng = random.Random(14)
+    head = ["".join(rng.choices("ab", k=repeats.LENGTH)).encode() for _ in range(150)]
+    head += [h[:n] + bytes(reversed(h[n:])) for h in head[:50] for n in (3, 40, 64, 90)] + head[:20]
+    raw, at = np.frombuffer(b"".join(head), np.uint8), np.arange(len(head)) * repeats.LENGTH
+    ranked, plain = [], repeats.dense
+    monkeypatch.setattr(repeats, "dense", lambda keys: ranked.append(len(keys)) or plain(keys))
+    order, common = repeats.suffix_order(raw, at)
+    assert [head[i] for i in order] == sorted(head)
+    shared = lambda x, y: next((i for i, (p, q) in enumerate(zip(x, y, strict=True)) if p != q), repeats.LENGTH)
+    assert common.tolist() == [0, *(shared(head[i], head[j]) for i, j in zip(order, order[1:], strict=False))]
+    assert sum(ranked) < len(raw) / 2  # not every byte's rank at every width
+
+
 def test_texts_longer_than_a_stretch(spark, monkeypatch):
     monkeypatch.setattr(repeats, "STRETCH", 1024)
     rng = random.Random(9)
