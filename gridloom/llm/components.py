@@ -83,7 +83,7 @@ def components(links: DataFrame) -> DataFrame:
     base, shape = shared_dir(spark), "a long, b long, changed boolean"
     links = links.select(F.col("a").cast("long").alias("a"), F.col("b").cast("long").alias("b"))
     edges, step = written(links.mapInArrow(lambda batches: _contract(batches, KEPT), shape), f"{base}/0"), 0
-    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-edges.count() // DEALT))
+    parts = max(1, -(-edges.count() // DEALT))
     while True:
         step += 1
         edges = written(edges.select("a", "b").repartition(parts, "a").mapInArrow(_contract, shape), f"{base}/{step}")

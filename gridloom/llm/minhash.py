@@ -135,7 +135,7 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, key: str = "
     members = written(entries.join(heads, "bucket").select("bucket", F.struct("node", *names, "n").alias("own"), "head"), f"{base}/members")
     stars = members.where(F.col("own") != F.col("head")).where(sizes_allow(F.col("own.n"), F.col("head.n"), percent)).select(F.col("own").alias("a"), F.col("head").alias("b")).distinct()
     stars = written(prefiltered(stars, linked, percent), f"{base}/stars")
-    links = written(confirmed(stars, narrow, k, percent), f"{base}/links")
+    links = confirmed(stars, narrow, k, percent, f"{base}/links")
     roots = components(links)
     # second round: only buckets whose members are of several components
     seen = members.join(roots, F.col("own.node") == F.col("node"), "left").select("bucket", "own", F.coalesce("root", "own.node").alias("root"))
@@ -151,7 +151,7 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, key: str = "
     pairs = written(prefiltered(pairs.join(both, ["a", "b"], "left_anti"), linked, percent), f"{base}/pairs")
     found = []
     if not pairs.isEmpty():
-        found.append(confirmed(pairs, narrow, k, percent))
+        found.append(confirmed(pairs, narrow, k, percent, f"{base}/more"))
     if not large.isEmpty():
         sets = shingles_of(large.select("own").distinct(), narrow, k, f"{base}/sets")
         found.append(written(in_blocks(large, sets, linked, percent), f"{base}/reached"))
@@ -161,7 +161,7 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, key: str = "
     of = nodes.select(*names, "node").join(roots.toDF("node", "root"), "node", "left").select(*names, F.coalesce("root", "node").alias("component_id"))
     result = sketch.select("key", "n", *names).join(of, names, "left")
     result = written(result.select(F.col("key").alias(key), F.col("n").alias("n_shingles"), F.when(F.col("set_a").isNull(), F.col("key")).otherwise(F.col("component_id")).alias("component_id")), f"{base}/found")
-    delete(spark, *(f"{base}/{x}" for x in ("sketch", "nodes", "members", "stars", "links", "mixed", "pairs", "sets", "reached")))
+    delete(spark, *(f"{base}/{x}" for x in ("sketch", "nodes", "members", "stars", "links", "mixed", "pairs", "more", "sets", "reached")))
     return result.withColumn("kept", F.col(key).eqNullSafe(F.col("component_id")))
 
 
@@ -238,14 +238,12 @@ def similar(a: Column, b: Column, percent: int) -> Column:
     return (100 + percent) * F.size(F.array_intersect(a, b)) >= percent * (F.size(a) + F.size(b))
 
 
-def confirmed(pairs: DataFrame, docs: DataFrame, k: int, percent: int) -> DataFrame:
-    """Links (a, b: nodes) of those of pairs (a, b: node, set_a, set_b, n) whose full shingle sets reach the threshold."""
-    spark = pairs.sparkSession
-    base = shared_dir(spark)
-    sets = shingles_of(pairs.select(F.explode(F.array("a", "b")).alias("own")).distinct(), docs, k, f"{base}/sets")
+def confirmed(pairs: DataFrame, docs: DataFrame, k: int, percent: int, place: str) -> DataFrame:
+    """Links (a, b: nodes) of those of pairs (a, b: node, set_a, set_b, n) whose full shingle sets reach the threshold, written at place."""
+    sets = shingles_of(pairs.select(F.explode(F.array("a", "b")).alias("own")).distinct(), docs, k, f"{place}-sets")
     a, b = (sets.select(F.col("own").alias(x), F.col("shingles").alias(f"set_{x}")) for x in "ab")
-    kept = written(pairs.join(b, "b").join(a, "a").where(similar(F.col("set_a"), F.col("set_b"), percent)).select("a.node", F.col("b.node").alias("b")).toDF("a", "b"), f"{base}/kept")
-    delete(spark, f"{base}/sets")
+    kept = written(pairs.join(b, "b").join(a, "a").where(similar(F.col("set_a"), F.col("set_b"), percent)).select("a.node", F.col("b.node").alias("b")).toDF("a", "b"), place)
+    delete(pairs.sparkSession, f"{place}-sets")
     return kept
 
 

@@ -118,6 +118,33 @@ def test_components_of_a_long_path(spark):
     assert components.components(path.where("false")).count() == 0
 
 
+def test_few_links_make_few_files(spark, monkeypatch):
+    """Files follow the number of links, not the number of shuffle partitions; links confirmed are written once."""
+    files, places = [], Counter()
+
+    def counted(df, place):
+        out = write(df, place)
+        files.append(len(out.inputFiles()))
+        return out
+
+    def noted(df, place):
+        places[",".join(df.columns)] += 1
+        return write(df, place)
+
+    write = components.written
+    monkeypatch.setattr(components, "written", counted)
+    monkeypatch.setattr(minhash, "written", noted)
+    links = spark.createDataFrame([(i, i + 1) for i in range(0, 600, 2)], "a long, b long").coalesce(1)
+    assert components.components(links).count() == 600 and set(files) == {1}
+    monkeypatch.setattr(components, "DEALT", 100)
+    files.clear()
+    assert components.components(links).count() == 600 and max(files) > 1
+    words = [f"v{i}" for i in range(40)]
+    made = [(i, " ".join([*words, f"e{i}"])) for i in range(3)]
+    assert {r.component_id for r in minhash.near_duplicates(spark.createDataFrame(made, "doc_id long, text string"), 3, 85).collect()} == {0}
+    assert places["a,b"] == 3  # stars, links, pairs
+
+
 def test_long_patterned_words_differ(spark):
     """Byte strings on which sums of powers modulo 2^64 cancel, whatever the odd base."""
     rows = []
