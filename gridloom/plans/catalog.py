@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators import geo
+from ..operators import frames, geo
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -106,7 +106,13 @@ over_sql("window_rank", "SELECT o_orderkey, row_number() OVER (PARTITION BY o_cu
 over_sql("window_ntile", "SELECT s_suppkey, ntile(4) OVER (PARTITION BY s_nationkey ORDER BY s_acctbal, s_suppkey) AS q, round(percent_rank() OVER (PARTITION BY s_nationkey ORDER BY s_acctbal), 6) AS pr, round(cume_dist() OVER (PARTITION BY s_nationkey ORDER BY s_acctbal), 6) AS cd FROM supplier", "SELECT s_suppkey, CAST(ntile(4) OVER (PARTITION BY s_nationkey ORDER BY s_acctbal, s_suppkey) AS INTEGER) AS q, round(percent_rank() OVER (PARTITION BY s_nationkey ORDER BY s_acctbal), 6) AS pr, round(cume_dist() OVER (PARTITION BY s_nationkey ORDER BY s_acctbal), 6) AS cd FROM supplier")
 over_sql("window_lag_lead", "SELECT event_id, lag(value) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS before, lead(value, 2) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS after2, first_value(value) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS f, nth_value(value, 2) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING) AS second FROM events")
 over_sql("window_rows_frame", "SELECT event_id, round(sum(value) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS BETWEEN 3 PRECEDING AND CURRENT ROW), 6) AS s FROM events")
-over_sql("window_range_frame", "SELECT o_orderkey, count(*) OVER (PARTITION BY o_orderstatus ORDER BY o_totalprice RANGE BETWEEN 500 PRECEDING AND 500 FOLLOWING) AS near FROM orders")
+
+
+@query("SELECT o_orderkey, count(*) OVER (PARTITION BY o_orderstatus ORDER BY o_totalprice RANGE BETWEEN 500 PRECEDING AND 500 FOLLOWING) AS near FROM orders")
+def window_range_frame(spark: SparkSession, sf_dir: str) -> DataFrame:
+    orders = table(spark, sf_dir, "orders").select("o_orderkey", "o_orderstatus", "o_totalprice")
+    return frames.near_counts(orders, ["o_orderstatus"], "o_totalprice", 500, 500, "near").select("o_orderkey", "near")
+
 
 # functions
 over_sql("functions_string", "SELECT c_custkey, upper(c_name) AS u, lower(c_mktsegment) AS l, length(c_name) AS n, substring(c_name, 2, 4) AS sub, replace(c_name, '0', 'o') AS rep, trim(concat('  ', c_mktsegment, ' ')) AS t, lpad(CAST(c_custkey AS STRING), 8, '0') AS padded, reverse(c_mktsegment) AS rev, md5(c_name) AS digest FROM customer", "SELECT c_custkey, upper(c_name) AS u, lower(c_mktsegment) AS l, CAST(length(c_name) AS INTEGER) AS n, substring(c_name, 2, 4) AS sub, replace(c_name, '0', 'o') AS rep, trim(concat('  ', c_mktsegment, ' ')) AS t, lpad(CAST(c_custkey AS VARCHAR), 8, '0') AS padded, reverse(c_mktsegment) AS rev, md5(c_name) AS digest FROM customer")
